@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, substring_dedup, suffix_dedup
+import public_tokenizers
+
+from . import bpe, common, substring_dedup, suffix_dedup, token_counts
+
+
+def _vocabulary() -> tuple[str, str]:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(common.table(spark, sf_dir, "documents"), *_vocabulary()), *_vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.revision_edits().alias("edits"))
+    return token_counts.count(docs, *_vocabulary())
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +37,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_token_counts": op5_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
