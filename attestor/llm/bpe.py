@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Pre-tokens of more bytes get a tree of their own; the others share one array of trees.
 WIDE = 64
 #: No pair to merge.
@@ -67,11 +69,8 @@ class PairRanks:
 class Encoder:
     """Encodes and decodes by the ranks in a file; each match of the pattern separately, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 300_000):
+    def __init__(self, path: str, pattern: str, cache: int = 200_000):
         self.ranks = read_ranks(path)
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.table = PairRanks(self.ranks)
         self.split = regex.compile(pattern).findall
@@ -211,7 +210,7 @@ class Encoder:
         for i, text in enumerate(texts):
             part.append(self.split(text))
             size += len(text)
-            if size > 1 << 21 or i == len(texts) - 1:
+            if size > 1 << 20 or i == len(texts) - 1:
                 new = set().union(*part) - self.cache.keys()
                 if new:
                     if len(self.cache) + len(new) > self.most:
@@ -225,11 +224,20 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return [b"".join(ids) for part in self.pieces(texts) for _, ids in part]
 
+
+class Decoder:
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -239,6 +247,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """A row per document: doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers).
 
@@ -247,7 +261,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             ids = encoder(path, pattern).encode_many(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -255,13 +269,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds `decoded`: the bytes that the ids stand for (null ids: empty)."""
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            back = encoder(path, pattern).decode
+        for b in common.sliced(batches):
+            back = decoder(path).decode
             out = pa.array([back(x or b"") for x in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 

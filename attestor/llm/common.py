@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,5 +79,8 @@ def groups_for(total: int, per_group: int) -> int:
     return max(1, -(-int(total or 0) // per_group))
 
 
-def data_path(*parts: str) -> str:
-    return os.path.join(*parts)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of `rows` rows at most, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

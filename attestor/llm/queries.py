@@ -17,7 +17,8 @@ def _vocabulary() -> tuple[str, str]:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(common.table(spark, sf_dir, "documents"), *_vocabulary()), *_vocabulary())
+    path, pattern = _vocabulary()
+    out = bpe.decode(bpe.encode(common.table(spark, sf_dir, "documents"), path, pattern), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

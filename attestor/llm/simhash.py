@@ -49,7 +49,7 @@ def fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): fp as the long with the same 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches, 1000):
             fp = fingerprints(b.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 

@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .bpe import Encoder, encoder
 
 #: A pre-token's end depends on two characters after it at most: the white-space rules look past the next one.
@@ -135,7 +136,7 @@ def count(docs: DataFrame, path: str, pattern: str, edits: str = "edits") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
-        for b in batches:
+        for b in common.sliced(batches):
             enc = encoder(path, pattern)
             texts, edits_of = b.column(1).to_pylist(), b.column(2).to_pylist()
             rows: list[tuple[int, int, int, int]] = []

@@ -143,7 +143,7 @@ def times_met(h: np.ndarray, least: np.ndarray, w: int, routes: np.ndarray) -> n
 
 def span_rows(batches: Iterator[pa.RecordBatch], unit: type, length: int, k: int) -> Iterator[pa.RecordBatch]:
     """Of (dkey, rid, text): a row for each run of windows with one route. sub: a hash of the run's whole content."""
-    for batch in batches:
+    for batch in common.sliced(batches, 2000):
         keys, rids, texts = (batch.column(i) for i in range(3))
         out: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for row, text in enumerate(texts.to_pylist()):
@@ -170,7 +170,7 @@ def span_rows(batches: Iterator[pa.RecordBatch], unit: type, length: int, k: int
 
 def cut_spans(batches: Iterator[pa.RecordBatch], unit: type, length: int) -> Iterator[pa.RecordBatch]:
     """Of (text, spans): the content of each span."""
-    for batch in batches:
+    for batch in common.sliced(batches, 1000):
         cols: list[list] = [[], [], [], [], [], []]
         for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             units = unit.units(text)
@@ -232,7 +232,7 @@ def compare(t: pa.Table, unit: type, length: int, engine: Engine, among: str) ->
 
 def window_rows(batches: Iterator[pa.RecordBatch], unit: type, length: int) -> Iterator[pa.RecordBatch]:
     """Of spans: a row for each window, with a 128-bit digest of its content. Only for routes too large for one bucket."""
-    for batch in batches:
+    for batch in common.sliced(batches, 1000):
         n = np.array(batch.column("n").to_pylist(), np.int64)
         digests = []
         for content, many in zip(batch.column("content").to_pylist(), n, strict=True):
@@ -319,7 +319,7 @@ def merge(covered: list[dict]) -> list[tuple[int, int]]:
 
 def cleaned(batches: Iterator[pa.RecordBatch], unit: type) -> Iterator[pa.RecordBatch]:
     """Of (doc_id, text, covered): sizes, the removed intervals and what is kept."""
-    for batch in batches:
+    for batch in common.sliced(batches, 1000):
         cols: list[list] = [[], [], [], []]
         for text, covered in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist(), strict=True):
             units, gone = unit.units(text), merge(covered)
