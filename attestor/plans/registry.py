@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import identity  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "leakage_audit"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
