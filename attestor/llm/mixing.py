@@ -39,7 +39,7 @@ def in_pools(docs: DataFrame, weights: dict[str, int], per_bucket: int) -> DataF
     counts = rows.groupBy("_pool", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_pool").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_pool", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_pool", "_bucket").orderBy("_md5", "doc_id", F.xxhash64("text"))
+    within = Window.partitionBy("_pool", "_bucket").orderBy("_md5", "doc_id", "text")
     keys = rows.withColumn("_place", F.row_number().over(within) - 1)
     return keys.join(counts, ["_pool", "_bucket"]).withColumn("_idx", F.col("_before") + F.col("_place")).drop("_md5", "_bucket", "_before", "_place")
 
@@ -49,7 +49,7 @@ def slots(totals: DataFrame, weights: dict[str, int], block_rows: int) -> DataFr
 
     first: the first period of the shape; start: its first slot; length: slots in each of its periods. totals: (pool, n).
     """
-    q = F.coalesce(F.element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v)))), F.col("pool")), F.lit(weights.get(OTHER, 1)))
+    q = F.element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v)))), F.col("pool"))
     pools = totals.select(F.struct("pool", q.cast("long").alias("q"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")).alias("p"))
     plan = pools.agg(F.array_sort(F.collect_list("p")).alias("pools"))  # one entry per weight, and one more
     breaks = "array_sort(array_distinct(concat(array(0L), flatten(transform(pools, p -> array(p.blocks div p.q, p.blocks div p.q + 1))))))"
@@ -90,17 +90,19 @@ def mix(docs: DataFrame, weights: dict[str, int], block_rows: int = 16, per_buck
     """
     if any(v < 1 or v != int(v) for v in weights.values()):
         raise ValueError("weights must be positive integers")
-    weights = dict(weights)
-    new = ["pool", "block", "slot", "position"]
-    docs = docs.drop(*new)
-    placed = in_pools(docs, {k: v for k, v in weights.items() if k != OTHER}, per_bucket)
-    totals = docs.groupBy(pool_of({k: v for k, v in weights.items() if k != OTHER}).alias("pool")).agg(F.count("*").alias("n"))
-    weight = F.coalesce(F.element_at(F.create_map(F.lit(OTHER), F.lit(weights.get(OTHER, 1)), *(x for k, v in weights.items() if k != OTHER for x in (F.lit(k), F.lit(v)))), F.col("_pool")), F.lit(1))
+    weights = {OTHER: 1} | weights
+    named = {k: v for k, v in weights.items() if k != OTHER}
+    weight = lambda pool: F.element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v)))), F.col(pool)).cast("long")
+    own = [x for x in docs.columns if x not in ("pool", "block", "slot", "position")]
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    docs = docs.select(F.struct(*own).alias("_row"), "doc_id", "source", text.alias("text"))
+    placed = in_pools(docs, named, per_bucket)
+    totals = docs.groupBy(pool_of(named).alias("pool")).agg(F.count("*").alias("n"))
     table = common.materialise(slots(totals, weights, block_rows), "slots")
     # the shape of a block's period is the last one that begins no later; both tables have a size that the weights bound
     firsts = table.agg(F.array_sort(F.collect_set("first")).alias("_firsts"))
     holes = (
-        totals.withColumn("_q", F.coalesce(F.element_at(F.create_map(F.lit(OTHER), F.lit(weights.get(OTHER, 1)), *(x for k, v in weights.items() if k != OTHER for x in (F.lit(k), F.lit(v)))), F.col("pool")), F.lit(1)))
+        totals.withColumn("_q", weight("pool"))
         .withColumn("_last", F.ceil(F.col("n") / block_rows) - 1)
         .withColumn("_hole", (F.col("_last") + 1) * block_rows - F.col("n"))
     )
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block_rows: int = 16, per_buck
     last = last.groupBy("pool").agg(F.max_by(F.struct(F.expr("start + (_last div _q - first) * length + slot").alias("at"), F.col("_hole").alias("n")), "first").alias("h"))
     bounds = F.broadcast(last.agg(F.collect_list("h").alias("_holes")))
     block = F.floor(F.col("_idx") / block_rows).cast("long")
-    rows = placed.withColumn("_block", block).withColumn("_q", weight).withColumn("_period", F.expr("_block div _q")).withColumn("_j", F.expr("_block % _q"))
+    rows = placed.withColumn("_block", block).withColumn("_q", weight("_pool")).withColumn("_period", F.expr("_block div _q")).withColumn("_j", F.expr("_block % _q"))
     one = F.lit(1).alias("_one")
     rows = rows.withColumn("_one", one).join(F.broadcast(firsts.withColumn("_one", one)), "_one").join(bounds.withColumn("_one", one), "_one")
     rows = rows.withColumn("_first", F.expr("element_at(filter(_firsts, x -> x <= _period), -1)"))
@@ -117,11 +119,9 @@ def mix(docs: DataFrame, weights: dict[str, int], block_rows: int = 16, per_buck
     slot = F.expr("start + (_period - _first) * length + slot")
     joined = joined.withColumn("_slot", slot)
     position = F.expr(f"_slot * {block_rows} + _idx % {block_rows} - aggregate(filter(_holes, x -> x.at < _slot), 0L, (s, x) -> s + x.n)")
-    return joined.select(*docs.columns, F.col("_pool").alias("pool"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), position.alias("position"))
+    return joined.select("_row.*", F.col("_pool").alias("pool"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), position.alias("position"))
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, int], block_rows: int = 16) -> DataFrame:
     """The documents themselves, with their own columns only, sorted into the order of mix()."""
-    own = docs.columns
-    keep = docs.select(F.struct(*own).alias("_row"), "doc_id", "source", "text")
-    return mix(keep, weights, block_rows).orderBy("position").select("_row.*")
+    return mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"), weights, block_rows).orderBy("position").select("_doc.*")

@@ -41,7 +41,7 @@ WEIGHTS = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3, "src5": 2, "sr
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))  # only for ties
     return mixing.mix(docs, WEIGHTS).drop("text")
 
 

@@ -15,7 +15,7 @@ from . import common
 
 def _small(values: np.ndarray) -> np.ndarray:
     for kind in (np.int16, np.int32):
-        if not len(values) or np.abs(values).max() <= np.iinfo(kind).max:
+        if np.abs(values).max(initial=0) <= np.iinfo(kind).max:
             return values.astype(kind)
     return values
 
@@ -32,7 +32,7 @@ class Tree:
             children.append([-1, -1])
             if parent >= 0:
                 children[parent][side] = node
-            if b - a > leaf:
+            if b - a > leaf and vectors.shape[1]:
                 rows = order[a:b]
                 part = vectors[rows]
                 axis = int((part.max(0) - part.min(0)).argmax())

@@ -121,15 +121,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     return Model({names[i]: float(x) for i, x in zip(best.tolist(), w, strict=True) if x}, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and `toxicity`, 0 to 1, from the whole text alone. Null text counts as empty."""
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """All columns of docs and the score as `name` (replaced if there), 0 to 1, from the whole text alone. Null text counts as empty."""
+    docs = docs.drop(name)
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.sliced(batches):
             s = pa.array([model.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, toxicity double")
+    return docs.mapInArrow(run, f"{schema}, `{name}` double")

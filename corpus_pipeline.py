@@ -16,7 +16,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that a model of the labels of this stage's own input scores below 0.5."""
     plain = docs.select("doc_id", "text")
     model = toxicity.learn(plain, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxicity < 0.5").drop("toxicity")
+    return toxicity.score(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
