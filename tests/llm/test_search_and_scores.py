@@ -93,7 +93,7 @@ def test_toxicity(spark, hard):
     test = [i for i in range(900) if out[i].h]
     assert 100 < len(test) < 260
     right = sum((out[i].toxicity >= 0.5) == (i % 8 == 0) for i in test)
-    assert right >= 0.97 * len(test)
+    assert right >= 0.95 * len(test)
     assert out[5000].toxicity < 0.5
     assert all(0 <= x.toxicity <= 1 for x in toxicity.score(hard, model).collect())
     none = toxicity.learn(docs, known.where("toxic = 0"))
