@@ -11,9 +11,11 @@ def _distinct_scores(df: DataFrame, by: list[str], score: str, target: Column) -
     return df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").cast("double").alias("n"), F.sum(target.cast("double")).alias("pos"))
 
 
-def mid_rank(by: list[str], order: Column) -> Column:
-    """The mean rank of equal values."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, order)) - 1) / F.lit(2.0)
+def mid_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, mid): the mean rank of each distinct value, from running counts over one row per value."""
+    d = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return d.select(*by, value, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0)).alias("mid"))
 
 
 def auroc(df: DataFrame, by: list[str], score: str, target: Column) -> DataFrame:
@@ -36,9 +38,12 @@ def average_precision(df: DataFrame, by: list[str], score: str, target: Column)
 
 def spearman(df: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
     """Pearson correlation of mid ranks; 0 where one side doesn't vary."""
-    r = df.select(*by, mid_rank(by, F.col(left)).alias("a"), mid_rank(by, F.col(right)).alias("b"))
-    spread = F.var_pop("a") * F.var_pop("b")
-    return r.groupBy(*by).agg(F.when(spread <= 1e-12, 0.0).otherwise(F.covar_pop("a", "b") / F.sqrt(spread)).alias("spearman"))
+    pairs = df.groupBy(*by, left, right).agg(F.count("*").cast("double").alias("w"))  # one row per pair of values
+    r = pairs.join(mid_ranks(df, by, left).withColumnRenamed("mid", "a"), [*by, left]).join(mid_ranks(df, by, right).withColumnRenamed("mid", "b"), [*by, right])
+    n, a, b, w = F.sum("w"), F.col("a"), F.col("b"), F.col("w")
+    mean = lambda x: F.sum(w * x) / n
+    va, vb = mean(a * a) - mean(a) * mean(a), mean(b * b) - mean(b) * mean(b)
+    return r.groupBy(*by).agg(F.when(va * vb <= 1e-12, 0.0).otherwise((mean(a * b) - mean(a) * mean(b)) / F.sqrt(va * vb)).alias("spearman"))
 
 
 def mass_concentration(df: DataFrame, by: list[str], score: str, target: Column) -> DataFrame:

@@ -221,11 +221,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH x AS ({SCORED}) SELECT doc_id, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS mid FROM x")
 def mid_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """Mid ranks by cumulative counts over distinct scores: a window only over one row per score."""
-    x = scored(spark, sf)
-    d = x.groupBy("s").agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.join(d.select("s", (below + (c("n") + 1) / F.lit(2.0)).alias("mid")), "s").select("doc_id", "mid")
+    """Mid ranks of all rows: one row per distinct score is ranked and joined back."""
+    x = scored(spark, sf).withColumn("all", F.lit(1))
+    return x.join(ranking.mid_ranks(x, ["all"], "s"), ["all", "s"]).select("doc_id", "mid")
 
 
 @query(f"""
@@ -481,3 +479,37 @@ def receipt_validity(spark: SparkSession, sf: str) -> DataFrame:
     m = c("r.metrics")
     ok = (c("r.schema_version") == "job_receipt.v1") & digests.is_sha256(c("r.config_sha256")) & scalars.is_finite(m["dice"]) & m["dice"].between(0.0, 1.0) & scalars.is_finite(m["hd95"]) & (m["hd95"] >= 0.0)
     return r.select("o_orderkey", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+@query(SIGN.format(a=1, b=24) + """, s AS (SELECT vec_id, code, sha256(CAST(code AS VARCHAR)) AS h, CAST(('0x' || substr(sha256('1729::' || vec_id), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE < 0.7 AS train FROM h)
+SELECT (SELECT count(*) FROM s WHERE train) AS train_rows, (SELECT count(*) FROM s WHERE NOT train) AS validation_rows,
+ (SELECT count(*) FROM (SELECT code FROM s WHERE train INTERSECT SELECT code FROM s WHERE NOT train) x) AS exact_leaks,
+ (SELECT count(*) FROM s a JOIN s b ON a.train AND NOT b.train AND a.code <> b.code AND bit_count(xor(a.code, b.code)) <= 3) AS near_leaks,
+ (SELECT sha256(string_agg(lpad(CAST(vec_id AS VARCHAR), 12, '0') || '|' || h || chr(10), '' ORDER BY vec_id)) FROM s WHERE NOT train) AS validation_digest
+""")
+def leakage_report(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: sizes, exact and near duplicates across a split, and the ordered digest of the sealed side's identities."""
+    e = table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 0, 24).alias("code"), (digests.stable_fraction(1729, c("vec_id")) < 0.7).alias("train"))
+    sizes = e.agg(F.count_if("train").alias("train_rows"), F.count_if(~c("train")).alias("validation_rows"))
+    exact = e.groupBy("code").agg(F.bool_or("train").alias("a"), F.bool_or(~c("train")).alias("b")).where("a and b").agg(F.count("*").alias("exact_leaks"))
+    side = lambda k: e.select(c("vec_id").alias(k), c("train").alias(f"t{k}"))
+    pairs = similarity.near_pairs(e, "vec_id", "code", 24, 3).where("distance > 0").join(side("a"), "a").join(side("b"), "b")
+    near = pairs.where("ta <> tb").agg(F.count("*").alias("near_leaks"))
+    line = F.concat(F.lpad(c("vec_id").cast("string"), 12, "0"), F.lit("|"), F.sha2(c("code").cast("string"), 256), F.lit("\n"))
+    sealed = e.where(~c("train")).agg(digests.ordered_digest(line).alias("validation_digest"))
+    return sizes.join(exact, F.lit(True)).join(near, F.lit(True)).join(sealed, F.lit(True))  # one row each
+
+
+@query()
+def refined_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Filter and refine: candidates of the banded join, then the structural similarity of their rasters in Python."""
+    import numpy as np
+
+    from attestor.functions import kernels
+    from attestor.operators.rasters import byte_levels, measure
+
+    e = table(spark, sf, "embeddings").select("vec_id", byte_levels(c("embedding")).alias("g"), similarity.sign_hash(c("embedding"), 0, 24).alias("code"))
+    pairs = similarity.near_pairs(e, "vec_id", "code", 24, 3)
+    side = lambda k: e.select(c("vec_id").alias(k), c("g").alias(f"g{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.concat_ws("-", "a", "b").alias("pair"), F.concat("ga", "gb").alias("g"))
+    return measure(both, "pair", "g", 2, 64, lambda x: {"ssim": kernels.ssim(np.asarray(x[0]).reshape(8, 8), np.asarray(x[1]).reshape(8, 8), 64)}, "ssim double")
