@@ -89,6 +89,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": f"""
+        WITH RECURSIVE w(pool, q) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in WEIGHTS.items())}),
+        d AS (
+            SELECT doc_id, source, pool, row_number() OVER (PARTITION BY pool ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS idx
+            FROM (SELECT doc_id, source, coalesce((SELECT pool FROM w WHERE pool = source), '{mixing.OTHER}') AS pool FROM documents)
+        ),
+        p AS (SELECT d.pool, any_value(q) AS q, CAST(ceil(count(*) / 16.0) AS BIGINT) AS blocks FROM d JOIN w ON d.pool = w.pool GROUP BY d.pool),
+        b AS (SELECT DISTINCT v AS first FROM (SELECT 0 AS v UNION ALL SELECT blocks // q FROM p UNION ALL SELECT blocks // q + 1 FROM p)),
+        have AS (SELECT first, pool, q, greatest(0, least(q, blocks - q * first)) AS m, least(blocks, q * first) AS before FROM b, p),
+        shape AS (SELECT first, CAST(sum(before) AS BIGINT) AS start, CAST(sum(m) AS BIGINT) AS length FROM have GROUP BY first),
+        jobs AS (
+            SELECT h.first, h.pool, j, CAST(sum(least(o.m * h.q, o.q * (j + 1))) + any_value(h.q) - 1 AS BIGINT) // any_value(h.q) AS due,
+                   CAST(sum(least(o.m * h.q, o.q * j)) AS BIGINT) // any_value(h.q) AS released
+            FROM (SELECT *, unnest(range(0, CAST(m AS BIGINT))) AS j FROM have) h JOIN have o ON o.first = h.first GROUP BY h.first, h.pool, j
+        ),
+        edf AS (
+            SELECT first, 0 AS t, list({{'due': due, 'pool': pool, 'j': j, 'released': released}} ORDER BY due, pool, j) AS todo,
+                   {{'due': CAST(NULL AS BIGINT), 'pool': CAST(NULL AS VARCHAR), 'j': CAST(NULL AS BIGINT), 'released': CAST(NULL AS BIGINT)}} AS pick
+            FROM jobs GROUP BY first
+            UNION ALL
+            SELECT first, t + 1, list_filter(todo, lambda x: x <> p), p
+            FROM (SELECT first, t, todo, list_filter(todo, lambda x: x.released <= t)[1] AS p FROM edf WHERE len(todo) > 0)
+        ),
+        r AS (SELECT d.*, idx // 16 AS block, (idx // 16) // q AS period, (idx // 16) % q AS j FROM d JOIN p ON d.pool = p.pool),
+        f AS (SELECT r.*, (SELECT max(first) FROM b WHERE first <= period) AS first FROM r),
+        s AS (
+            SELECT doc_id, source, f.pool, block, idx, start + (period - f.first) * length + edf.t - 1 AS slot
+            FROM f JOIN shape ON shape.first = f.first JOIN edf ON edf.first = f.first AND edf.pick.pool = f.pool AND edf.pick.j = f.j
+        )
+        SELECT doc_id, source, pool, block, slot, row_number() OVER (ORDER BY slot, idx) - 1 AS position FROM s
+    """,
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS hit FROM h),
+        c AS (SELECT DISTINCT doc_id, i + k AS j FROM f, range(0, 50) t(k) WHERE hit),
+        u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+        k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.j) FILTER (WHERE c.j IS NULL) AS kept, count(c.j) AS n FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.j = c.j GROUP BY u.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        h AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400)),
+        f AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) > 1 AS hit FROM h) WHERE hit),
+        g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS jump FROM f),
+        r AS (SELECT doc_id, i, sum(CASE WHEN jump <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+        s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+        e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM s),
+        k AS (
+            SELECT d.doc_id, count(a) AS n_spans, coalesce(sum(b - a), 0) AS n_removed,
+                   coalesce(string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a), '') || substr(any_value(x), 2 * coalesce(max(b), 0) + 1) AS kept
+            FROM d LEFT JOIN e ON d.doc_id = e.doc_id GROUP BY d.doc_id
+        )
+        SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k ON d.doc_id = k.doc_id
+    """,
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
