@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +17,37 @@ def ensure_checkpoint_dir(df: DataFrame) -> None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='attestor-cp-')}")
 
 
-def shared_key_components(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
-    """(node, component): rows that share a non-blank value of one of the keys, directly or through others, get the least node.
+def stars(links: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v): every node u of the links (u, v) that isn't the least of its component, with that least node v.
 
-    A value links its rows to the least of them, so no pairs are made. Then rounds of alternating star steps, each one
-    joining least neighbours back (map-side minima), shorten all paths to length one; rounds are checkpointed.
+    Large-star and small-star steps alternate until nothing changes. Each only takes least neighbours (with map-side minima)
+    and joins them back, so no node's links are ever gathered in one place. `cut` stores the edges of a round and cuts their
+    lineage. Links to oneself are ignored.
     """
-    ensure_checkpoint_dir(rows)
-    long = rows.select(F.col(node).alias("n"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.trim(F.col(k).cast("string")).alias("v")) for k in keys))).alias("key"))
-    long = long.where(F.col("key.v") != "").select("n", "key.k", "key.v")
-    least = long.groupBy("k", "v").agg(F.min("n").alias("m"))
-    edges = long.join(least, ["k", "v"]).where("n <> m").select(F.col("n").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = mark(edges)
     while True:
-        both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = mark(edges)
         if now == before:
-            break
+            return edges
         before = now
+
+
+def shared_key_components(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
+    """(node, component): rows that share a non-blank value of one of the keys, directly or through others, get the least node.
+
+    A value links its rows to the least of them, so no pairs are made; rounds of star steps are checkpointed.
+    """
+    ensure_checkpoint_dir(rows)
+    long = rows.select(F.col(node).alias("n"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.trim(F.col(k).cast("string")).alias("v")) for k in keys))).alias("key"))
+    long = long.where(F.col("key.v") != "").select("n", "key.k", "key.v")
+    least = long.groupBy("k", "v").agg(F.min("n").alias("m"))
+    edges = stars(long.join(least, ["k", "v"]).select(F.col("n").alias("u"), F.col("m").alias("v")), lambda e: e.checkpoint())
     return rows.select(F.col(node)).join(edges.select(F.col("u").alias(node), F.col("v").alias("component")), node, "left").withColumn("component", F.coalesce("component", node))
