@@ -43,6 +43,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestor-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _TO_DROP:
+        atexit.unregister(drop_materialised)
+        atexit.register(drop_materialised)  # after the gateway's own, so it runs before it
     _TO_DROP.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,14 +54,14 @@ _TO_DROP: list[str] = []
 
 
 def drop_materialised() -> None:
-    """Deletes what materialise() wrote; call it once no result that reads those files is needed."""
+    """Deletes what materialise() wrote; at the end of the process, or before, once no result that reads those files is needed."""
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _TO_DROP:
         path = jvm.org.apache.hadoop.fs.Path(_TO_DROP.pop())
-        path.getFileSystem(conf).delete(path, True)
+        path.getFileSystem(conf).delete(path, True)  # nothing happens if it is gone already
 
 
 @atexit.register

@@ -1,36 +1,20 @@
-"""Connected components of a graph of links, by alternating large-star and small-star steps."""
+"""Connected components of a graph of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-
+from attestor.operators.graphs import stars
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+from . import common
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node that a link (u, v) names; component: the least node that can be reached.
 
-    Each step only takes least neighbours (with map-side sums) and joins them back, so no node's links are ever gathered
-    in one place. The edges of a round are written to the shared folder. Links to oneself are ignored.
+    The edges of each round of star steps are written to the shared folder. Links to oneself are ignored.
     """
-    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = common.materialise(edges, "edges")
-    before = _signature(edges)
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _signature(edges)
-        if now == before:
-            break
-        before = now
+    edges = stars(links, lambda e: common.materialise(e, "edges"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

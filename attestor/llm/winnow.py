@@ -288,7 +288,7 @@ def find(docs: DataFrame, unit: type, length: int, k: int, engine: Engine, among
     buckets = common.groups_for(total, bucket_units)
     found = (
         fits.withColumn("bucket", F.pmod(F.hash("route"), F.lit(buckets)))
-        .repartition(max(buckets, 1), "bucket")
+        .repartition(min(buckets, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket")  # a task takes its buckets one by one
         .groupBy("bucket")
         .applyInArrow(lambda t: compare(t, unit, length, engine, among), FOUND)
     )
