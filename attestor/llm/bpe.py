@@ -15,6 +15,8 @@ from . import common
 
 #: Pre-tokens of more bytes get a tree of their own; the others share one array of trees.
 WIDE = 64
+#: Fewer new pre-tokens than this are merged one by one.
+FEW = 16
 #: No pair to merge.
 NONE = np.int32(2**31 - 1)
 
@@ -195,7 +197,7 @@ class Encoder:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.cache[word] = rank.to_bytes(4, "little")
-            elif len(raw) > WIDE:
+            elif len(raw) > WIDE or len(words) < FEW:
                 self.cache[word] = self.merge_one(raw)
             else:
                 by_width.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append((word, raw))

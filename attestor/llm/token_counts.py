@@ -26,19 +26,23 @@ class SumTree:
     others, so that the tree keeps its shape and only their paths change.
     """
 
-    def __init__(self, chars: list[int], tokens: list[int]):
-        self.n = len(chars)
-        self.width = 1 << max(0, self.n - 1).bit_length()
-        self.leaves: list[list[tuple[int, int]]] = [[x] for x in zip(chars, tokens, strict=True)]
-        self.levels = []
-        level = np.zeros((self.width, 2), np.int64)
-        if self.n:
-            level[: self.n, 0], level[: self.n, 1] = chars, tokens
-        while True:
-            self.levels.append(level)
-            if len(level) == 1:
-                break
+    def __init__(self, words: list[str], ids: list[bytes]):
+        self.n = len(words)
+        self.edited: dict[int, list[tuple[int, int]]] = {}
+        level = np.zeros((1 << max(0, self.n - 1).bit_length(), 2), np.int64)
+        level[: self.n, 0] = np.fromiter(map(len, words), np.int64, self.n)
+        level[: self.n, 1] = np.fromiter(map(len, ids), np.int64, self.n) // 4
+        self.levels = [level]
+        while len(level) > 1:
             level = level[::2] + level[1::2]
+            self.levels.append(level)
+
+    def parts(self, leaf: int) -> list[tuple[int, int]]:
+        """(characters, tokens) of the pre-tokens in a leaf."""
+        if leaf in self.edited:
+            return self.edited[leaf]
+        chars, tokens = self.levels[0][leaf].tolist()
+        return [(chars, tokens)]
 
     @property
     def tokens(self) -> int:
@@ -67,8 +71,8 @@ class SumTree:
     def put(self, first: int, last: int, parts: list[tuple[int, int]]) -> None:
         """Replaces leaves first to last (inclusive)."""
         for leaf in range(first, last + 1):
-            self.leaves[leaf] = parts if leaf == first else []
-            new = (sum(c for c, _ in self.leaves[leaf]), sum(t for _, t in self.leaves[leaf]))
+            self.edited[leaf] = parts if leaf == first else []
+            new = (sum(c for c, _ in self.edited[leaf]), sum(t for _, t in self.edited[leaf]))
             delta = np.array(new) - self.levels[0][leaf]
             if delta.any():
                 at = leaf
@@ -78,9 +82,9 @@ class SumTree:
 
 
 class Document:
-    def __init__(self, text: str, words: list[str], counts: list[int], enc: Encoder, pattern: regex.Pattern):
+    def __init__(self, text: str, words: list[str], ids: list[bytes], enc: Encoder, pattern: regex.Pattern):
         self.text, self.enc, self.pattern, self.encoded = text, enc, pattern, 0
-        self.tree = SumTree(list(map(len, words)), counts)
+        self.tree = SumTree(words, ids)
 
     def edit(self, start: int, stop: int, insert: str) -> None:
         """Replaces characters start to stop (exclusive). Positions are cut to the text."""
@@ -91,7 +95,7 @@ class Document:
         tree = self.tree
         if not tree.n:
             words = self.pattern.findall(self.text)
-            self.tree = SumTree(list(map(len, words)), self._count(words))
+            self.tree = SumTree(words, self._encode(words))
             return
         first = tree.leaf_at(max(0, start - LOOK - 1))
         begin = tree.before(first)
@@ -103,8 +107,8 @@ class Document:
             if at >= start + len(insert):  # beyond the edit: stop where an old pre-token began
                 while old[-1] < at - grow:
                     last += 1
-                    parts += tree.leaves[last]
-                    old += list(accumulate((c for c, _ in tree.leaves[last]), initial=old[-1]))[1:]
+                    parts += tree.parts(last)
+                    old += list(accumulate((c for c, _ in tree.parts(last)), initial=old[-1]))[1:]
                 i = bisect_left(old, at - grow)
                 if old[i] == at - grow:
                     break
@@ -112,18 +116,18 @@ class Document:
             words.append(word)
             at += len(word)
         if last < first and words:  # an insertion between two leaves joins the second
-            last, parts = first, tree.leaves[first]
+            last, parts = first, tree.parts(first)
         if last >= first:
-            tree.put(first, last, [*zip(map(len, words), self._count(words), strict=True), *parts[i:]])
+            tree.put(first, last, [*((len(w), len(x) // 4) for w, x in zip(words, self._encode(words), strict=True)), *parts[i:]])
 
-    def _count(self, words: list[str]) -> list[int]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         self.encoded += len(words)
         new = {w for w in words if w not in self.enc.cache}
         if new:
             if len(self.enc.cache) + len(new) > self.enc.most:
                 new = set(words)
             self.enc.learn(new)
-        return [len(self.enc.cache[w]) // 4 for w in words]
+        return [self.enc.cache[w] for w in words]
 
 
 def count(docs: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
@@ -142,8 +146,7 @@ def count(docs: DataFrame, path: str, pattern: str, edits: str = "edits") -> Dat
             rows: list[tuple[int, int, int, int]] = []
             for part in enc.pieces(texts):
                 for words, ids in part:
-                    counts = [len(x) // 4 for x in ids]
-                    doc = Document(texts[len(rows)], words, counts, enc, compiled)
+                    doc = Document(texts[len(rows)], words, ids, enc, compiled)
                     total = doc.tree.tokens
                     for e in edits_of[len(rows)] or ():
                         if e is not None:

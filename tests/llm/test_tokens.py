@@ -37,7 +37,7 @@ def test_edits(reference):
         for _ in range(25):
             words = e.split(text)
             e.learn(set(words))
-            doc = token_counts.Document(text, words, [len(e.cache[w]) // 4 for w in words], e, compiled)
+            doc = token_counts.Document(text, words, [e.cache[w] for w in words], e, compiled)
             for _ in range(6):
                 n = len(doc.text)
                 a = r.randint(0, n)
@@ -50,7 +50,7 @@ def test_edits_touch_little():
     text = "some words go on " * 500
     words = e.split(text)
     e.learn(set(words))
-    doc = token_counts.Document(text, words, [len(e.cache[w]) // 4 for w in words], e, compiled)
+    doc = token_counts.Document(text, words, [e.cache[w] for w in words], e, compiled)
     doc.edit(4000, 4003, "new")
     assert doc.encoded < 12
 
