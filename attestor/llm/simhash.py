@@ -142,12 +142,14 @@ def _keys(value: Column, width: int) -> Column:
 
 
 def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
-    """(u, v): links that join all distinct fingerprints within `radius` (2 at most) bits of each other.
+    """(u, v): links that join all distinct fingerprints within `radius` (2 at most, or ValueError) bits of each other.
 
     Of four blocks of 16 bits, two differing bits leave two alike, so near fingerprints meet under one of six pairs of
     blocks. Where more than `most` share a pair, the other 32 bits are cut the same way; then 48 bits are shared, and a
     bucket cannot hold more than 65,536 distinct fingerprints. A bucket yields a link for each member at most.
     """
+    if not 0 <= radius <= 2:
+        raise ValueError("two of four blocks are sure to be alike only up to a radius of 2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,17 +170,136 @@ def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
     return buckets.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, most: int = MOST) -> DataFrame:
+def _prefix(hashes: np.ndarray, common_: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Of a set's hashes the rarest first, as many as one must share with any set whose Jaccard similarity is `least`."""
+    n = len(hashes)
+    at = np.minimum(np.searchsorted(common_, hashes), max(len(common_) - 1, 0))
+    weight = np.where(common_[at] == hashes, counts[at], 0) if len(common_) else np.zeros(n, np.int64)
+    return hashes[np.lexsort((hashes, weight))[: n - -(-least[0] * n // least[1]) + 1]]
+
+
+def _set_of(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.frombuffer(shingle_hashes(text, words), ">i8").astype(np.int64))
+
+
+def _words_of(text: bytes, words: int) -> set[bytes]:
+    w = text.lower().split()
+    size = min(words, len(w))
+    return {b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} if w else set()
+
+
+def _paired(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of members that share a hash and whose sizes allow the similarity; rows come sorted by hash, size, node."""
+    left = np.empty((3, 0), np.int64)
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if rows.shape[1]:
+            rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]]  # equal sets count once
+        h, size, node = rows
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+        end = np.r_[start[1:], len(h)]
+        for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
+            to = s + np.searchsorted(size[s:e], size[s:e] * least[1] // least[0], "right")
+            for i in range(s, e - 1):
+                other = node[i + 1 : to[i - s]]
+                other = other[other != node[i]]
+                if len(other):
+                    a, b = np.minimum(other, node[i]), np.maximum(other, node[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in found:
+            held.append(b)
+            n += b.num_rows
+            if n >= 10_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def found() -> Iterator[pa.RecordBatch]:
+        nonlocal left
+        for b in batches:
+            rows = np.concatenate([left, np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], np.int64)], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0  # the last hash may go on
+            yield from out(rows[:, :cut])
+            left = rows[:, cut:]
+        yield from out(left)
+
+    yield from merged(found())
+
+
+def overlap_links(docs: DataFrame, overlap: int, least: tuple[int, int], words: int = 3, sample: int = 20_000, known: int = 100_000) -> DataFrame:
+    """(u, v): fingerprints of all documents whose sets of `overlap`-word shingles have a Jaccard similarity of `least` or more.
+
+    No radius of fingerprints finds all of these, so candidates come from prefixes: with shingles in one order for all, two
+    such sets share one among the first n - ceil(least * n) + 1 of either. Rare shingles come first (as a sample of documents
+    tells; the order decides only how many candidates there are), so few documents meet. Each candidate is then verified by
+    the shingles themselves. Equal sets are taken as one before anything is compared.
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("rid", F.xxhash64("text"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.sliced(batches, 100):
+            sets = [_set_of(t, overlap) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["h"])
+
+    step = common.groups_for(docs.count(), sample)
+    seen = texts.where(F.pmod("rid", F.lit(step)) == 0).select("text").mapInArrow(shingles, "h long")
+    top = seen.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(known).toArrow()
+    h, counts = (np.asarray(top.column(i).to_numpy(), np.int64) for i in range(2))
+    order = np.argsort(h)
+    h, counts = h[order], counts[order]
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.sliced(batches, 1000):
+            raw = b.column(0).to_pylist()
+            sets = [_set_of(t, overlap) for t in raw]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            firsts = pa.array([_prefix(s, h, counts, least) if len(s) else s for s in sets], pa.list_(pa.int64()))
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1), node, pa.array(fingerprints(raw, words).view(np.int64)), size, firsts], names=["rid", "node", "fp", "size", "firsts"])
+
+    marked = common.materialise(texts.mapInArrow(marks, "rid long, node long, fp long, size long, firsts array<long>"), "prefixes")
+    one = common.materialise(marked.groupBy("node").agg(F.min("rid").alias("rid"), F.min("fp").alias("low")), "sets")
+    same = marked.select("node", "fp").distinct().join(one, "node").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
+    keyed = marked.select(F.explode("firsts").alias("h"), "size", "node").repartition("h").sortWithinPartitions("h", "size", "node")
+    pairs = common.materialise(keyed.mapInArrow(lambda x: _paired(x, least), "a long, b long").distinct(), "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(one.select("node", "rid"), "node")
+    found = common.materialise(texts.join(needed, "rid").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.sliced(batches):
+            near = []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p, q = _words_of(x, overlap), _words_of(y, overlap)
+                both = len(p & q)
+                if least[1] * both >= least[0] * (len(p) + len(q) - both):
+                    near += [x, y]
+            fp = fingerprints(near, words).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["u", "v"])
+
+    side = lambda k: found.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("text_a", "text_b").mapInArrow(verified, "u long, v long")
+    return common.materialise(close.where("u <> v").union(same).distinct(), "overlaps")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, most: int = MOST, overlap: int = 0, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """A row per document: doc_id, fp (64 bits as long), component_id (the smallest doc_id reachable by links).
 
     Documents link when their fingerprints differ in `radius` bits at most; equal fingerprints are taken as one before any
-    comparison. Null, empty and blank texts have fingerprint 0 and link like any other; rows that repeat a doc_id are kept,
+    comparison. With `overlap`, documents link also when their sets of so many words' shingles have a Jaccard similarity of
+    `least` (a fraction) or more, whatever their fingerprints. Null, empty and blank texts have fingerprint 0 and link like any other; rows that repeat a doc_id are kept,
     each by its own text; a null doc_id takes part but never names a component (one of nulls only has a null id); other
     columns are ignored.
     """
     rows = common.materialise(fingerprint(docs, words), "fingerprints")
     classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    joined = components(links(classes.select("fp"), radius, most)).withColumnRenamed("node", "fp")
+    linked = links(classes.select("fp"), radius, most)
+    if overlap:
+        linked = linked.union(overlap_links(docs, overlap, least, words)).distinct()
+    joined = components(linked).withColumnRenamed("node", "fp")
     classes = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = classes.join(least, "component").select("fp", "component_id")
