@@ -114,7 +114,7 @@ portable("regex_extraction", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)
 @query("SELECT page_id, lower(split_part(url, '/', -1)) AS name, trim(regexp_replace(lower(substr(html, 1, 400)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS phrase FROM pages")
 def phrases(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
-    return p.select("page_id", scalars.basename(c("url")).alias("name"), scalars.phrase(F.substring("html", 1, 400)).alias("phrase"))
+    return p.select("page_id", scalars.basename(c("url")).alias("name"), scalars.phrase(c("html")).alias("phrase"))
 
 
 @query("SELECT n_nationkey, replace(replace('50% & ' || n_name || '_$#', '&', '\\&'), '%', '\\%') AS part, 0 AS zero FROM nation")
