@@ -21,3 +21,14 @@ def test_phrases_of_whole_pages(spark):
     assert any(len(html) > 400 for _, html in pages)
     want = {i: re.sub(r"[ \t\n\r\f\v]+", " ", html.lower()).strip(" ") for i, html in pages}
     assert {r.page_id: r.phrase for r in registry.QUERIES["phrases"](spark, SF).collect()} == want
+
+
+def test_forest_as_in_production(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    fitted, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, data: fitted.append((self.getNumTrees(), self.getMaxDepth(), data.count())) or fit(self, data))
+    found = {r.fold: r.n for r in registry.QUERIES["region_forest"](spark, SF).collect()}
+    total = 4 * len(column("embeddings", "vec_id"))
+    assert set(found) == set(range(5)) and sum(found.values()) == total
+    assert fitted == [(96, 12, total - found[i]) for i in range(5)]
