@@ -54,8 +54,8 @@ def phash63(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SIGN.format(a=1, b=24) + """SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id AND bit_count(xor(x.code, y.code)) <= 3""")
 def near_dup_banded(spark: SparkSession, sf: str) -> DataFrame:
-    codes = table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 0, 24).alias("code"))
-    return similarity.near_pairs(codes, "vec_id", "code", 24, 3)
+    codes = table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 1, 63).alias("code"))
+    return similarity.near_pairs(codes, "vec_id", "code", 63, 4)
 
 
 portable("composite_lookup", """
@@ -488,14 +488,15 @@ SELECT (SELECT count(*) FROM s WHERE train) AS train_rows, (SELECT count(*) FROM
  (SELECT sha256(string_agg(lpad(CAST(vec_id AS VARCHAR), 12, '0') || '|' || h || chr(10), '' ORDER BY vec_id)) FROM s WHERE NOT train) AS validation_digest
 """)
 def leakage_report(spark: SparkSession, sf: str) -> DataFrame:
-    """One row: sizes, exact and near duplicates across a split, and the ordered digest of the sealed side's identities."""
-    e = table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 0, 24).alias("code"), (digests.stable_fraction(1729, c("vec_id")) < 0.7).alias("train"))
+    """One row: sizes, exact (equal content) and near duplicates (63-bit hashes within 4, other content) across a split, and the ordered digest of the sealed side's identities."""
+    digest = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))), 256)
+    e = table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 1, 63).alias("code"), digest.alias("digest"), (digests.stable_fraction(1729, c("vec_id")) < 0.7).alias("train"))
     sizes = e.agg(F.count_if("train").alias("train_rows"), F.count_if(~c("train")).alias("validation_rows"))
-    exact = e.groupBy("code").agg(F.bool_or("train").alias("a"), F.bool_or(~c("train")).alias("b")).where("a and b").agg(F.count("*").alias("exact_leaks"))
-    side = lambda k: e.select(c("vec_id").alias(k), c("train").alias(f"t{k}"))
-    pairs = similarity.near_pairs(e, "vec_id", "code", 24, 3).where("distance > 0").join(side("a"), "a").join(side("b"), "b")
-    near = pairs.where("ta <> tb").agg(F.count("*").alias("near_leaks"))
-    line = F.concat(F.lpad(c("vec_id").cast("string"), 12, "0"), F.lit("|"), F.sha2(c("code").cast("string"), 256), F.lit("\n"))
+    exact = e.groupBy("digest").agg(F.bool_or("train").alias("a"), F.bool_or(~c("train")).alias("b")).where("a and b").agg(F.count("*").alias("exact_leaks"))
+    side = lambda k: e.select(c("vec_id").alias(k), c("train").alias(f"t{k}"), c("digest").alias(f"d{k}"))
+    pairs = similarity.near_pairs(e, "vec_id", "code", 63, 4).join(side("a"), "a").join(side("b"), "b")
+    near = pairs.where("ta <> tb and da <> db").agg(F.count("*").alias("near_leaks"))
+    line = F.concat(F.lpad(c("vec_id").cast("string"), 12, "0"), F.lit("|"), c("digest"), F.lit("\n"))
     sealed = e.where(~c("train")).agg(digests.ordered_digest(line).alias("validation_digest"))
     return sizes.join(exact, F.lit(True)).join(near, F.lit(True)).join(sealed, F.lit(True))  # one row each
 
@@ -508,8 +509,8 @@ def refined_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from attestor.functions import kernels
     from attestor.operators.rasters import byte_levels, measure
 
-    e = table(spark, sf, "embeddings").select("vec_id", byte_levels(c("embedding")).alias("g"), similarity.sign_hash(c("embedding"), 0, 24).alias("code"))
-    pairs = similarity.near_pairs(e, "vec_id", "code", 24, 3)
+    e = table(spark, sf, "embeddings").select("vec_id", byte_levels(c("embedding")).alias("g"), similarity.sign_hash(c("embedding"), 1, 63).alias("code"))
+    pairs = similarity.near_pairs(e, "vec_id", "code", 63, 4)
     side = lambda k: e.select(c("vec_id").alias(k), c("g").alias(f"g{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.concat_ws("-", "a", "b").alias("pair"), F.concat("ga", "gb").alias("g"))
     return measure(both, "pair", "g", 2, 64, lambda x: {"ssim": kernels.ssim(np.asarray(x[0]).reshape(8, 8), np.asarray(x[1]).reshape(8, 8), 64)}, "ssim double")

@@ -32,3 +32,43 @@ def test_forest_as_in_production(spark, monkeypatch):
     total = 4 * len(column("embeddings", "vec_id"))
     assert set(found) == set(range(5)) and sum(found.values()) == total
     assert fitted == [(96, 12, total - found[i]) for i in range(5)]
+
+
+def planted(spark, tmp_path):
+    """Vectors alike in the first 24 components only, equal ones, and ones whose 63-bit hashes differ in 0 to 6 bits."""
+    r = np.random.default_rng(7)
+    rows = []
+    for _ in range(60):
+        half = np.r_[np.full(32, 1.0), np.full(32, -1.0)]
+        v = r.permutation(half) * r.uniform(0.5, 1.0, 64)
+        rows.append(v)
+        for swaps in (0, 1, 2, 3):
+            w = v * r.uniform(0.9, 1.1, 64) if swaps or r.random() < 0.5 else v.copy()
+            up, down = r.choice(np.flatnonzero(v > 0), swaps, False), r.choice(np.flatnonzero(v < 0), swaps, False)
+            w[up], w[down] = w[up] * -1, w[down] * -1
+            rows.append(w)
+        w = v.copy()
+        w[24:] = r.permutation(w[24:])
+        rows.append(w)
+    e = [(i, np.float32(v).tolist(), 0) for i, v in enumerate(rows)]
+    spark.createDataFrame(e, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = np.array([x for _, x, _ in e])
+    bits = (v > np.median(v, axis=1, keepdims=True))[:, 1:]
+    distance = (bits[:, None] != bits[None]).sum(axis=2)
+    pairs = {(i, j): int(distance[i, j]) for i in range(len(v)) for j in range(i + 1, len(v)) if distance[i, j] <= 4}
+    return v, pairs
+
+
+def test_near_duplicates_by_all_bits(spark, tmp_path):
+    v, pairs = planted(spark, tmp_path)
+    assert set(pairs.values()) == {0, 1, 2, 3, 4}
+    got = registry.QUERIES["near_dup_banded"](spark, str(tmp_path)).collect()
+    assert len(got) == len(pairs) and {(r.a, r.b): r.distance for r in got} == pairs
+    assert sorted(r.pair for r in registry.QUERIES["refined_pairs"](spark, str(tmp_path)).select("pair").collect()) == sorted(f"{a}-{b}" for a, b in pairs)
+    train = [int(hashlib.sha256(f"1729::{i}".encode()).hexdigest()[:16], 16) / 2.0**64 < 0.7 for i in range(len(v))]
+    same = lambda i, j: (v[i] == v[j]).all()
+    across = [(i, j) for i, j in pairs if train[i] != train[j]]
+    leaks = len({v[i].tobytes() for i, j in across if same(i, j)})
+    r = registry.QUERIES["leakage_report"](spark, str(tmp_path)).first()
+    assert (r.train_rows, r.validation_rows) == (sum(train), len(v) - sum(train))
+    assert (r.exact_leaks, r.near_leaks) == (leaks, sum(not same(i, j) for i, j in across)) and leaks > 0
