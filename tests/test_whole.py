@@ -72,3 +72,10 @@ def test_near_duplicates_by_all_bits(spark, tmp_path):
     r = registry.QUERIES["leakage_report"](spark, str(tmp_path)).first()
     assert (r.train_rows, r.validation_rows) == (sum(train), len(v) - sum(train))
     assert (r.exact_leaks, r.near_leaks) == (leaks, sum(not same(i, j) for i, j in across)) and leaks > 0
+
+
+def test_every_price_is_checked(spark):
+    known = {round(abs(v), 4) for (v,) in column("customer", "c_acctbal")}
+    tokens = {round(p, 2) for (p,) in column("part", "p_retailprice")}
+    got = registry.QUERIES["number_support"](spark, SF).collect()
+    assert len(got) == len(tokens) and {r.token: r.supported for r in got} == {t: round(abs(t), 4) in known for t in tokens}
