@@ -376,14 +376,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 def paired_bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
     arm = lambda x: F.avg(F.when(c("event_type") == x, c("value")))
     d = table(spark, sf, "events").groupBy("user_id").agg((arm("click") - arm("view")).alias("v")).where("v is not null")
-    return _rounded(resampling.bootstrap_median(d, "user_id", "v", 200, 204))
+    return _rounded(resampling.bootstrap_median(d, "user_id", "v", 2000, 204))
 
 
 @query("WITH p AS (SELECT user_id, event_type, avg(value) AS x FROM events GROUP BY user_id, event_type), d AS (SELECT user_id AS k, avg(x) AS v FROM p GROUP BY user_id)" + BOOT.format(seed=206, it=200))
 def cluster_bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
     """The mean over a sample's views first, then the median over samples."""
     d = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("x")).groupBy("user_id").agg(F.avg("x").alias("v"))
-    return _rounded(resampling.bootstrap_median(d, "user_id", "v", 200, 206))
+    return _rounded(resampling.bootstrap_median(d, "user_id", "v", 2000, 206))
 
 
 @query("""

@@ -79,3 +79,19 @@ def test_every_price_is_checked(spark):
     tokens = {round(p, 2) for (p,) in column("part", "p_retailprice")}
     got = registry.QUERIES["number_support"](spark, SF).collect()
     assert len(got) == len(tokens) and {r.token: r.supported for r in got} == {t: round(abs(t), 4) in known for t in tokens}
+
+
+def test_bootstraps_draw_2000_resamples(spark):
+    arms = {}
+    for user, kind, value in column("events", "user_id", "event_type", "value"):
+        arms.setdefault(user, {}).setdefault(kind, []).append(value)
+    mean = {u: {k: float(np.mean(x)) for k, x in a.items()} for u, a in sorted(arms.items())}
+    paired = [m["click"] - m["view"] for m in mean.values() if "click" in m and "view" in m]
+    cluster = [float(np.mean(list(m.values()))) for m in mean.values()]
+    for name, seed, v in (("paired_bootstrap_hash", 204, np.array(paired)), ("cluster_bootstrap_hash", 206, np.array(cluster))):
+        n = len(v)
+        drawn = np.array([[int(hashlib.md5(f"{seed}:{i}:{d}".encode()).hexdigest()[:8], 16) % n for d in range(n)] for i in range(2000)])
+        low, high = np.quantile(np.median(v[drawn], axis=1), [0.025, 0.975])
+        r = registry.QUERIES[name](spark, SF).first()
+        assert (r.n, r.iterations) == (n, 2000)
+        np.testing.assert_allclose((r.estimate, r.lower, r.upper), (np.median(v), low, high), atol=2e-6)
