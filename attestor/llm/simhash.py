@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -16,6 +17,8 @@ from .components import components
 
 #: Of a bucket with more fingerprints, the bits that its members need not share are cut into blocks again.
 MOST = 4096
+#: Buckets of so many fingerprints at most are compared side by side in one set of planes.
+SMALL = 32
 
 
 def shingle_hashes(text: bytes, words: int) -> bytes:
@@ -65,43 +68,71 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def within(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each fingerprint the later ones within `radius` bits (3 at most), by vertical counters.
+def _counted(plane: Callable[[int, np.ndarray], np.ndarray], blocks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of `blocks` of 64 those that come through all planes of differing bits, and which of their members are near.
 
-    A counter of two bits per fingerprint and a sticky overflow plane add up differing bits plane by plane; when a whole
-    block of 64 has passed the radius it is left out of the further planes.
+    A counter of two bits per member and a sticky overflow plane add up differing bits plane by plane; when a whole block has
+    passed the radius (3 at most) it is left out of the further planes.
     """
+    ones, twos, over = (np.zeros(len(blocks), np.uint64) for _ in range(3))
+    far = over
+    for p in range(64):
+        diff = plane(p, blocks)
+        carry = ones & diff
+        ones ^= diff
+        over |= twos & carry
+        twos ^= carry
+        if p % 8 == 7:
+            far = over | (twos & ones) if radius == 2 else over | twos if radius == 1 else over | twos | ones if radius == 0 else over
+            keep = far != np.uint64(0xFFFFFFFFFFFFFFFF)
+            if not keep.all():
+                blocks, ones, twos, over, far = blocks[keep], ones[keep], twos[keep], over[keep], far[keep]
+            if not len(blocks):
+                break
+    return blocks, np.unpackbits((~far).view(np.uint8)).reshape(-1, 64)
+
+
+def within(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each fingerprint the later ones within `radius` bits (3 at most), by vertical counters."""
     sliced = planes(fps)
     for i in range(len(fps) - 1):
-        first = (i + 1) // 64
-        blocks = np.arange(first, sliced.shape[1])
-        ones, twos, over = (np.zeros(len(blocks), np.uint64) for _ in range(3))
         fp = int(fps[i])
-        for p in range(64):
-            diff = sliced[p, blocks]
-            if fp >> (63 - p) & 1:
-                diff = ~diff
-            carry = ones & diff
-            ones ^= diff
-            over |= twos & carry
-            twos ^= carry
-            if p % 8 == 7:
-                far = over | (twos & ones) if radius == 2 else over | twos if radius == 1 else over | twos | ones if radius == 0 else over
-                keep = far != np.uint64(0xFFFFFFFFFFFFFFFF)
-                if not keep.all():
-                    blocks, ones, twos, over = blocks[keep], ones[keep], twos[keep], over[keep]
-                if not len(blocks):
-                    break
+        plane = lambda p, at: ~sliced[p, at] if fp >> (63 - p) & 1 else sliced[p, at]  # noqa: E731, B023
+        blocks, near = _counted(plane, np.arange((i + 1) // 64, sliced.shape[1]), radius)
         if len(blocks):
-            far = over | (twos & ones) if radius == 2 else over | twos if radius == 1 else over | twos | ones if radius == 0 else over
-            near = np.unpackbits((~far).view(np.uint8)).reshape(-1, 64)
             block, bit = np.nonzero(near)
             j = blocks[block] * 64 + bit
             yield i, j[(j > i) & (j < len(fps))]
 
 
-def join_bucket(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the members within `radius` of each other: each member with the least of its part of the bucket."""
+@cache
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def within_each(buckets: list[np.ndarray], radius: int, at_once: int = 1 << 16) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """For each of many small buckets that has any: its near members as within() gives them. Pairs of all lie side by side in one set of planes."""
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    if not buckets:
+        return out
+    which = [_all_pairs(len(x)) for x in buckets]
+    i, j = (np.concatenate([w[k] for w in which]) for k in range(2))
+    bucket = np.repeat(np.arange(len(buckets)), [len(w[0]) for w in which])
+    start = np.cumsum([0, *map(len, buckets[:-1])])[bucket]
+    fps = np.concatenate(buckets)
+    for at in range(0, len(i), at_once):
+        part = slice(at, at + at_once)
+        left, right = planes(fps[start[part] + i[part]]), planes(fps[start[part] + j[part]])
+        blocks, near = _counted(lambda p, b: left[p, b] ^ right[p, b], np.arange(left.shape[1]), radius)  # noqa: B023
+        block, bit = np.nonzero(near)
+        found = at + blocks[block] * 64 + bit
+        for x in found[found < min(at + at_once, len(i))].tolist():
+            out.setdefault(int(bucket[x]), []).append((int(i[x]), j[x : x + 1]))
+    return out
+
+
+def join_bucket(fps: np.ndarray, found: Iterable[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the members found near each other: each member with the least of its part of the bucket."""
     n = len(fps)
     parent = np.arange(n)
 
@@ -111,11 +142,6 @@ def join_bucket(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             x = parent[x]
         return x
 
-    if n <= 32:  # a few: one small table of distances, by the same planes' XOR
-        bits = np.bitwise_count(fps[:, None] ^ fps[None, :])
-        found = [(i, np.flatnonzero(bits[i, i + 1 :] <= radius) + i + 1) for i in range(n - 1)]
-    else:
-        found = within(fps, radius)
     for i, js in found:
         for j in js.tolist():
             a, b = root(i), root(j)
@@ -153,7 +179,10 @@ def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [join_bucket(np.array(x, np.int64).view(np.uint64), radius) for x in b.column(0).to_pylist()]
+            fps = [np.array(x, np.int64).view(np.uint64) for x in b.column(0).to_pylist()]
+            small = [x for x in fps if len(x) <= SMALL]
+            pairs = [join_bucket(small[i], found) for i, found in within_each(small, radius).items()]
+            pairs += [join_bucket(x, within(x, radius)) for x in fps if len(x) > SMALL]
             u, v = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.uint64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
