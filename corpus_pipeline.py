@@ -40,10 +40,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document, with digests of the ids and of the text that they decode to."""
+    """doc_id, n_tokens and ids of each document, digests of the ids and of the text they decode to, and its position in the mixture.
+
+    Files are read in no order, so the position is made anew: it depends on the documents alone.
+    """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    placed = mixing.mix(docs, WEIGHTS).select(F.struct("doc_id", "position").alias("doc_id"), "text")
+    out = bpe.decode(bpe.encode(placed, path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id.doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
