@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import common
 
@@ -267,12 +268,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = encoder(path, pattern).encode_many(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    schema = StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds `decoded`: the bytes that the ids stand for (null ids: empty)."""
+    """Adds `decoded` (replaced if there): the bytes that the ids stand for (null ids: empty)."""
+    encoded = encoded.drop("decoded")
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,4 +283,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = pa.array([back(x or b"") for x in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded binary")
+    return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", BinaryType())]))

@@ -11,9 +11,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import common
 from .components import components
+from .winnow import Words, rolling
 
 #: Of a bucket with more fingerprints, the bits that its members need not share are cut into blocks again.
 MOST = 4096
@@ -201,14 +203,21 @@ def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
 
 def _prefix(hashes: np.ndarray, common_: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> np.ndarray:
     """Of a set's hashes the rarest first, as many as one must share with any set whose Jaccard similarity is `least`."""
-    n = len(hashes)
-    at = np.minimum(np.searchsorted(common_, hashes), max(len(common_) - 1, 0))
-    weight = np.where(common_[at] == hashes, counts[at], 0) if len(common_) else np.zeros(n, np.int64)
+    n, slot = len(hashes), hashes & (SLOTS - 1)
+    at = np.minimum(np.searchsorted(common_, slot), max(len(common_) - 1, 0))
+    weight = np.where(common_[at] == slot, counts[at], 0) if len(common_) else np.zeros(n, np.int64)
     return hashes[np.lexsort((hashes, weight))[: n - -(-least[0] * n // least[1]) + 1]]
 
 
 def _set_of(text: bytes, words: int) -> np.ndarray:
-    return np.unique(np.frombuffer(shingle_hashes(text, words), ">i8").astype(np.int64))
+    """The set of a text's shingles as sorted 64-bit hashes; they only find candidates."""
+    units = Words.units(text.lower())
+    return np.unique(rolling(Words.codes(units), min(words, len(units)))).view(np.int64) if units else np.empty(0, np.int64)
+
+
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """1024 bits: whether each slot holds an odd number of the set. Two sets differ in as many members at least as in bits."""
+    return np.packbits(np.bincount(hashes >> 22 & 1023, minlength=1024).astype(np.uint8) & 1).view(np.int64)
 
 
 def _words_of(text: bytes, words: int) -> set[bytes]:
@@ -217,119 +226,198 @@ def _words_of(text: bytes, words: int) -> set[bytes]:
     return {b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} if w else set()
 
 
-def _paired(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of members that share a hash and whose sizes allow the similarity; rows come sorted by hash, size, node."""
-    left = np.empty((3, 0), np.int64)
-
-    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if rows.shape[1]:
-            rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]]  # equal sets count once
-        h, size, node = rows
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-        end = np.r_[start[1:], len(h)]
+def _may_match(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], least: tuple[int, int]) -> np.ndarray:
+    """Whether sets of these sizes that first share their hash at these places of their orders can have the similarity."""
+    (size, at), (size_, at_) = one, other
+    possible = np.minimum(size - at, size_ - at_)
+    p, q = least
+    return ((p + q) * possible >= p * (size + size_)) & (q * size_ >= p * size) & (q * size >= p * size_)
+
+
+def _to_few(h: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, component: np.ndarray, least: tuple[int, int], next_: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket (members come by size) each member with the first whose size allows the similarity and with the next few."""
+    own = np.arange(len(h))
+    pivot, i = np.zeros(len(h), np.int64), 0
+    while i < len(h):
+        j = i + int(np.searchsorted(size[i:], size[i] * least[1] // least[0], "right"))
+        pivot[i:j] = i
+        i = j
+    one = np.concatenate([pivot, *(own[:-k] for k in range(1, next_ + 1))])
+    two = np.concatenate([own, *(own[k:] for k in range(1, next_ + 1))])
+    ok = (one != two) & _may_match((size[one], at[one]), (size[two], at[two]), least)
+    return node[one[ok]], node[two[ok]]
+
+
+def _across(h: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, component: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a bucket's members that are in different components and may have the similarity."""
+    if (component == component[0]).all():
+        return node[:0], node[:0]
+    to = np.searchsorted(size, size * least[1] // least[0], "right")
+    left, right = [], []
+    for i in range(len(h) - 1):
+        rest = slice(i + 1, to[i])
+        ok = (component[rest] != component[i]) & _may_match((size[i], at[i]), (size[rest], at[rest]), least)
+        if ok.any():
+            right.append(node[rest][ok])
+            left.append(np.full(len(right[-1]), node[i]))
+    return (np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
+
+
+def _paired(batches: Iterator[pa.RecordBatch], pairs: Callable, least: tuple[int, int], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """(a, b) that `pairs` makes of each bucket of members with one hash; rows come sorted by hash, size and node."""
+    held: list[np.ndarray] = []
+    many = 0
+
+    def out(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.empty(0, np.int64)
+        end = np.r_[start[1:], rows.shape[1]]
         for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-            to = s + np.searchsorted(size[s:e], size[s:e] * least[1] // least[0], "right")
-            for i in range(s, e - 1):
-                other = node[i + 1 : to[i - s]]
-                other = other[other != node[i]]
-                if len(other):
-                    a, b = np.minimum(other, node[i]), np.maximum(other, node[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in found:
-            held.append(b)
-            n += b.num_rows
-            if n >= 10_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    def found() -> Iterator[pa.RecordBatch]:
-        nonlocal left
+            yield pairs(*rows[:, s:e], least)
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = np.empty((5, 0), np.int64)
         for b in batches:
-            rows = np.concatenate([left, np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], np.int64)], axis=1)
-            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0  # the last hash may go on
+            rows = np.concatenate([left, np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], np.int64)], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0  # the last bucket may go on
             yield from out(rows[:, :cut])
             left = rows[:, cut:]
         yield from out(left)
 
-    yield from merged(found())
+    def batch() -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(held, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for a, b in found():
+        if len(a):
+            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            many += len(a)
+            if many >= most:
+                yield batch()
+                held, many = [], 0
+    if held:
+        yield batch()
 
 
-def overlap_links(docs: DataFrame, overlap: int, least: tuple[int, int], words: int = 3, sample: int = 20_000, known: int = 100_000) -> DataFrame:
-    """(u, v): fingerprints of all documents whose sets of `overlap`-word shingles have a Jaccard similarity of `least` or more.
+#: Shingles are counted in so many slots, by the low bits of their hashes.
+SLOTS = 1 << 22
 
-    No radius of fingerprints finds all of these, so candidates come from prefixes: with shingles in one order for all, two
-    such sets share one among the first n - ceil(least * n) + 1 of either. Rare shingles come first (as a sample of documents
-    tells; the order decides only how many candidates there are), so few documents meet. Each candidate is then verified by
-    the shingles themselves. Equal sets are taken as one before anything is compared.
+
+def common_shingles(docs: DataFrame, overlap: int, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots whose shingles occur most often, sorted, and how often: each document counts.
+
+    A task sums up its own slots and reports the `known` fullest of those counted twice, so memory and traffic are bounded.
     """
-    texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("rid", F.xxhash64("text"))
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.sliced(batches, 100):
-            sets = [_set_of(t, overlap) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["h"])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in common.sliced(batches, 2000):
+            h = np.concatenate([*(_set_of(t, overlap) for t in b.column(0).to_pylist()), np.empty(0, np.int64)])
+            np.add.at(n, h & (SLOTS - 1), 1)
+        twice = np.flatnonzero(n > 1)
+        twice = twice[np.argsort(-n[twice], kind="stable")[:known]]
+        yield pa.RecordBatch.from_arrays([pa.array(twice), pa.array(n[twice])], names=["slot", "n"])
+
+    sums = docs.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    top = sums.orderBy(F.desc("n"), "slot").limit(known).toArrow()
+    slot, n = (np.asarray(top.column(i).to_numpy(), np.int64) for i in range(2))
+    order = np.argsort(slot)
+    return slot[order], n[order]
+
 
-    step = common.groups_for(docs.count(), sample)
-    seen = texts.where(F.pmod("rid", F.lit(step)) == 0).select("text").mapInArrow(shingles, "h long")
-    top = seen.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(known).toArrow()
-    h, counts = (np.asarray(top.column(i).to_numpy(), np.int64) for i in range(2))
-    order = np.argsort(h)
-    h, counts = h[order], counts[order]
+def marked(docs: DataFrame, words: int, overlap: int, least: tuple[int, int], known: int) -> DataFrame:
+    """(doc_id, digest, fp, size, parities, firsts) of docs (doc_id, text, digest): fingerprint, and of the shingle set size, parities and prefix."""
+    h, counts = common_shingles(docs, overlap, known)
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.sliced(batches, 1000):
-            raw = b.column(0).to_pylist()
+            raw = b.column(1).to_pylist()
             sets = [_set_of(t, overlap) for t in raw]
-            node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
             firsts = pa.array([_prefix(s, h, counts, least) if len(s) else s for s in sets], pa.list_(pa.int64()))
             size = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(1), node, pa.array(fingerprints(raw, words).view(np.int64)), size, firsts], names=["rid", "node", "fp", "size", "firsts"])
+            parities = pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))
+            columns = [b.column(0), b.column(2), pa.array(fingerprints(raw, words).view(np.int64)), size, parities, firsts]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "size", "parities", "firsts"])
+
+    own = {"digest": StringType(), "fp": LongType(), "size": LongType(), "parities": ArrayType(LongType()), "firsts": ArrayType(LongType())}
+    schema = StructType([docs.schema["doc_id"], *(StructField(n, t) for n, t in own.items())])
+    return docs.select("doc_id", "text", "digest").mapInArrow(run, schema)
+
 
-    marked = common.materialise(texts.mapInArrow(marks, "rid long, node long, fp long, size long, firsts array<long>"), "prefixes")
-    one = common.materialise(marked.groupBy("node").agg(F.min("rid").alias("rid"), F.min("fp").alias("low")), "sets")
-    same = marked.select("node", "fp").distinct().join(one, "node").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
-    keyed = marked.select(F.explode("firsts").alias("h"), "size", "node").repartition("h").sortWithinPartitions("h", "size", "node")
-    pairs = common.materialise(keyed.mapInArrow(lambda x: _paired(x, least), "a long, b long").distinct(), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(one.select("node", "rid"), "node")
-    found = common.materialise(texts.join(needed, "rid").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
+def overlap_links(docs: DataFrame, rows: DataFrame, overlap: int, least: tuple[int, int]) -> DataFrame:
+    """(u, v): fingerprints that join all documents whose sets of `overlap`-word shingles have a Jaccard similarity of `least` or more.
+
+    docs: (text, digest); rows: marked() of them. No radius of fingerprints finds all of these, so candidates come from
+    prefixes: with shingles in one order for all, two such sets share one among the first n - ceil(least * n) + 1 of either,
+    and what is left of both orders from there must be long enough; parities of the sets' slots rule out most others. Common shingles come last in the order, so few documents
+    meet; the order decides only how many candidates there are. Each candidate is then verified by the shingles themselves.
+
+    Candidates come in two rounds, so that a group of near copies isn't expanded into all its pairs: the first pairs each
+    member of a bucket with five of it at most; the second pairs all that the first's links have not joined, and loses none.
+    """
+    nodes = common.materialise(rows.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    placed = nodes.select("node", "size", F.posexplode("firsts").alias("at", "h"))
+    met = placed.groupBy("h").count().where("count > 1").select("h")
+    placed = common.materialise(placed.join(met, "h").select("h", "size", F.col("at").cast("long").alias("at"), "node"), "prefixes")
+
+    def candidates(pairs: Callable, component: DataFrame | None) -> DataFrame:
+        found = placed.withColumn("component", F.col("node")) if component is None else placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = found.select("h", "size", "at", "node", "component").repartition("h").sortWithinPartitions("h", "size", "node")
+        found = found.mapInArrow(lambda x: _paired(x, pairs, least), "a long, b long").distinct()
+        # sets of such a similarity differ in at most (1 - least) / (1 + least) of their members, so in no more parities
+        side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("parities").alias(f"parities_{k}"))
+        differ = "aggregate(zip_with(parities_a, parities_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        p, q = least
+        return found.join(side("a"), "a").join(side("b"), "b").where(f"{p + q} * {differ} <= {q - p} * (size_a + size_b)").select("a", "b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.sliced(batches):
             near = []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
                 p, q = _words_of(x, overlap), _words_of(y, overlap)
                 both = len(p & q)
-                if least[1] * both >= least[0] * (len(p) + len(q) - both):
-                    near += [x, y]
-            fp = fingerprints(near, words).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["u", "v"])
+                near.append(least[1] * both >= least[0] * (len(p) + len(q) - both))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    def close(pairs: DataFrame, label: str) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+        texts = common.materialise(docs.join(needed, "digest").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts")
+        side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+        return common.materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long"), label)
 
-    side = lambda k: found.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("text_a", "text_b").mapInArrow(verified, "u long, v long")
-    return common.materialise(close.where("u <> v").union(same).distinct(), "overlaps")
+    first = common.materialise(candidates(_to_few, None), "first-pairs")
+    links = close(first, "first-links")
+    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    second = common.materialise(candidates(_across, joined).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    links = links.union(close(second, "second-links"))
+    fp = lambda k, name: nodes.select(F.col("node").alias(k), F.col("fp").alias(name))
+    return links.join(fp("a", "u"), "a").join(fp("b", "v"), "b").where("u <> v").select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, most: int = MOST, overlap: int = 0, least: tuple[int, int] = (4, 5)) -> DataFrame:
-    """A row per document: doc_id, fp (64 bits as long), component_id (the smallest doc_id reachable by links).
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, most: int = MOST, overlap: int = 0, least: tuple[int, int] = (4, 5), known: int = 100_000) -> DataFrame:
+    """A row per document: doc_id, fp (64 bits as long), component_id (the smallest doc_id reachable by links), and digest
+    (SHA-256 of the text, hex) and component (a number for each component) with `overlap`.
 
     Documents link when their fingerprints differ in `radius` bits at most; equal fingerprints are taken as one before any
     comparison. With `overlap`, documents link also when their sets of so many words' shingles have a Jaccard similarity of
-    `least` (a fraction) or more, whatever their fingerprints. Null, empty and blank texts have fingerprint 0 and link like any other; rows that repeat a doc_id are kept,
-    each by its own text; a null doc_id takes part but never names a component (one of nulls only has a null id); other
-    columns are ignored.
+    `least` (a fraction) or more, whatever their fingerprints (texts without words have none with any). `known`: of how many
+    slots of shingles the frequency is kept, which orders candidates and changes no link.
+
+    Null, empty and blank texts have fingerprint 0 and link like any other; very long texts are read whole; an empty table
+    gives none; rows that repeat a doc_id are kept, each by its own text; a null doc_id takes part but never names a component
+    (one of nulls only has a null id); other columns are ignored.
     """
-    rows = common.materialise(fingerprint(docs, words), "fingerprints")
+    if overlap:
+        raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        raw = raw.select("doc_id", F.col("text").cast("binary").alias("text"), F.sha2("text", 256).alias("digest"))
+        rows = common.materialise(marked(raw, words, overlap, least, known), "marks")
+    else:
+        rows = common.materialise(fingerprint(docs, words), "fingerprints")
     classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     linked = links(classes.select("fp"), radius, most)
     if overlap:
-        linked = linked.union(overlap_links(docs, overlap, least, words)).distinct()
+        linked = linked.union(overlap_links(raw, rows, overlap, least)).distinct()
     joined = components(linked).withColumnRenamed("node", "fp")
     classes = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = classes.join(least, "component").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = classes.join(lowest, "component").select("fp", "component_id", "component")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *(["digest", "component"] if overlap else []))

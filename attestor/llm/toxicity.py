@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -132,5 +133,4 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
             s = pa.array([model.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, DoubleType())]))
