@@ -13,25 +13,41 @@ from attestor.llm.queries import WEIGHTS
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labels of this stage's own input scores below 0.5."""
-    plain = docs.select("doc_id", "text")
-    model = toxicity.learn(plain, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    """Documents that a model of the labels of this stage's own input scores below 0.5.
+
+    Null text counts as empty; rows are judged one by one, so repeated rows and null ids stay or go by their text; an empty
+    table stays empty, and without a toxic label all rows stay. All columns are kept as they are.
+    """
+    model = toxicity.learn(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(F.struct("*").alias("row"), "text"), model, "score").where("score < 0.5").select("row.*")
+
+
+def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and digest of the text `kept` names, one of those that repeat both."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    rows = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "digest"]).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; rows that repeat id and text count once."""
-    kept = exact_dedup.dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = rows.join(kept, (rows["_digest"] == kept["_digest"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    """Of equal texts the row with the largest doc_id; rows that repeat id and text count once.
+
+    Null text equals empty text; a null doc_id is smaller than any other, and of several only one row of a text stays; an
+    empty table stays empty. All columns are kept as they are.
+    """
+    return _one_of_each(docs, exact_dedup.dedup(docs).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; a five-word similarity of 0.8 links as well."""
+    """Of each group of linked documents the one with the smallest doc_id; a five-word similarity of 0.8 links as well.
+
+    A null doc_id is larger than any other; of rows with one doc_id that with the least digest of its text stays, of rows that
+    repeat both one. Texts without words are one group; an empty table stays empty. All columns are kept as they are.
+    """
     found = simhash.near_duplicates(docs, overlap=5, least=(4, 5))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("first"))
+    return _one_of_each(docs, first.select("first.doc_id", "first.digest"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
