@@ -11,17 +11,13 @@ from attestor.llm import secrets, topk, toxicity
 
 
 def brute_topk(rows, k):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        q = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-        vectors[i] = min(q, vectors.get(i, q))
+    """Every row is a candidate of every query but itself, whatever its id; a null id is larger than any other."""
+    vectors = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in vectors.items():
-        if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors.items() if j != i and len(v) == len(q))
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+    for n, (i, q) in enumerate(vectors):
+        if i is not None and i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), 2**63 if j is None else j, j) for m, (j, v) in enumerate(vectors) if m != n and len(v) == len(q))
+            out += [(i, r + 1, j, -s) for r, (s, _, j) in enumerate(scored[:k])]
     return Counter(out)
 
 
@@ -36,6 +32,35 @@ def test_topk(spark):
     assert topk.search(df.where("false")).count() == 0
 
 
+def test_boxes_rule_out_trees(spark):
+    """Vectors in far corners: a query's own shard has its best, and no other tree is searched for it."""
+    r = np.random.default_rng(2)
+    corners = np.array([[90, 0, 0], [0, 90, 0], [0, 0, 90], [60, 60, 0]])
+    rows = [(i, [float(x) for x in corners[i % 4] + r.integers(0, 3, 3)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert Counter((x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(df, shard_rows=200).collect()) == brute_topk(rows, 5)
+    points = np.array([[int(256 * x) for x in v] for _, v in rows])
+    shard = topk.parts_of(points, topk.splits(points, 4))
+    assert sorted(np.bincount(shard)) == [200] * 4
+    for n in range(0, 800, 50):
+        scores = np.sort(points[shard == shard[n]] @ points[n])[-6:]
+        for other in set(range(4)) - {shard[n]}:
+            tree = topk.Tree.build(np.arange(200), np.arange(200), points[shard == other])
+            if n % 4 < 3 and (points[shard == other].max(0) * points[n]).sum() < scores[0]:
+                assert tree.search(np.array([-1]), points[n : n + 1], 5, [(int(scores[0]), 0, 0)]) == [[]]
+
+
+def test_tree_is_exact_on_any_integers():
+    r = np.random.default_rng(3)
+    for top in (5, 2**20, 2**40, 2**62):
+        v = r.integers(-top, top, (300, 3))
+        tree = topk.Tree.build(np.arange(300), np.arange(300), v, leaf=8)
+        got = tree.search(np.arange(0, 300, 60), v[::60], 4, [None] * 5)
+        for n, best in zip(range(0, 300, 60), got):
+            want = sorted(((sum(int(a) * int(b) for a, b in zip(v[n], x)), -m, -m) for m, x in enumerate(v) if m != n), reverse=True)[:4]
+            assert sorted(best, reverse=True) == want
+
+
 def test_large_components(spark):
     rows = [(0, [3e6, -3e6]), (1, [3e6, 1.0]), (2, [-3e6, 2e6])] + [(i, [float(i), 1e7]) for i in range(3, 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
