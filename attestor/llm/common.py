@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         atexit.unregister(drop_materialised)
         atexit.register(drop_materialised)  # after the gateway's own, so it runs before it
     _TO_DROP.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out._jdf] = path
+    return out
+
+
+_PATHS: WeakKeyDictionary[object, str] = WeakKeyDictionary()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialise() early: only where nothing that is still to be computed reads it."""
+    path = _PATHS.pop(df._jdf)
+    _TO_DROP.remove(path)
+    _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # nothing happens if it is gone already
 
 
 _TO_DROP: list[str] = []
@@ -58,10 +76,8 @@ def drop_materialised() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _TO_DROP:
-        path = jvm.org.apache.hadoop.fs.Path(_TO_DROP.pop())
-        path.getFileSystem(conf).delete(path, True)  # nothing happens if it is gone already
+        _delete(spark, _TO_DROP.pop())
 
 
 @atexit.register

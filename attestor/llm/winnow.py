@@ -5,10 +5,9 @@ which repeats count.
 
 1. Route. Each window takes the least hash of its sub-windows as its route, so equal windows have equal routes. Runs of
    consecutive windows with one route are cut out as one span. Routes that occur once cannot hold a repeat and go.
-2. Collapse. Spans with the same bytes become one, with their count and least doc_id.
-3. Compare. Routes are dealt into buckets of a bounded size; in each, an engine numbers equal windows alike, by content.
-   Spans that stand for several go in twice, so that the engine finds their windows repeated like any other. A route too
-   large for a bucket is cut again by longer sub-windows, and its parts go through the same steps.
+2. Collapse. Spans with the same bytes (they are compared, not their hashes) become one, with their count and least doc_id.
+3. Compare. Routes are dealt into buckets of a bounded size; in each, an engine numbers equal windows alike, by content. A
+   route too large for a bucket is cut again by longer sub-windows, and its parts go through the same steps.
 4. Map back. Repeated windows go from spans to the documents that hold them, and become intervals there.
 
 Hashes only partition: they never decide that two windows or spans are equal, they only make sure that equal ones meet.
@@ -274,29 +273,21 @@ def compare(t: pa.Table, unit: type, length: int, engine: Engine, among: str) ->
 
     among 'occurrences': a window repeats if it occurs twice anywhere. 'documents': if a document with a lesser doc_id
     than the span's own least has it, or several documents have the span; runs are then cut where the least doc_id changes,
-    and `least` compares per document. A span that stands for several is there twice: a repeat is what the engine finds in
-    two places.
+    and `least` compares per document.
     """
-    own = t.num_rows
-    several = np.flatnonzero(t.column("count").to_numpy() >= 2)
-    t = pa.concat_tables([t, t.take(pa.array(several))])
     s, at = unit.symbols(t.column("content").to_pylist())
-    n, least = (t.column(c).to_numpy() for c in ("n", "least"))
+    n, count, least = (t.column(c).to_numpy() for c in ("n", "count", "least"))
     span = np.repeat(np.arange(len(n)), n)
     starts = at[:-1][span] + np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
     cls = engine(s, starts, length)
-    low = np.full(int(cls.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    many = int(cls.max(initial=-1)) + 1
+    low = np.full(many, np.iinfo(np.int64).max)
     np.minimum.at(low, cls, least[span])
-    met = np.bincount(cls, minlength=len(low))
     if among == "occurrences":
-        repeated, low = met[cls] >= 2, np.zeros(len(cls), np.int64)
+        repeated, low = np.bincount(cls, weights=count[span], minlength=many)[cls] >= 2, np.zeros(len(cls), np.int64)
     else:
-        twice = np.zeros(len(n), bool)
-        twice[several] = True
         low = low[cls]
-        repeated = (met[cls] >= 2) & ((low < least[span]) | twice[span])
-    mine = span < own  # the second copies have done their part
-    span, repeated, low, n = span[mine], repeated[mine], low[mine], n[:own]
+        repeated = (low < least[span]) | (count[span] >= 2)
     new = np.ones(len(span), bool)
     new[1:] = (span[1:] != span[:-1]) | (repeated[1:] != repeated[:-1]) | (low[1:] != low[:-1])
     begin = np.flatnonzero(new)
@@ -307,7 +298,7 @@ def compare(t: pa.Table, unit: type, length: int, engine: Engine, among: str) ->
     first = np.cumsum(n) - n
     offsets = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
     items = pa.StructArray.from_arrays([pa.array((begin - first[of]).astype(np.int32)), pa.array((end - first[of]).astype(np.int32)), pa.array(low[begin])], names=["a", "b", "least"])
-    out = pa.table({"id": t.column("id").slice(0, own).combine_chunks(), "repeats": pa.ListArray.from_arrays(pa.array(offsets), items)})
+    out = pa.table({"id": t.column("id").combine_chunks(), "repeats": pa.ListArray.from_arrays(pa.array(offsets), items)})
     return out.filter(pa.array(np.diff(offsets) > 0))
 
 
@@ -350,12 +341,13 @@ def find(docs: DataFrame, unit: type, length: int, k: int, engine: Engine, among
     """
     same = ["route", "sub", "n"]
     keyed = docs.select(*common.row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = common.materialise(keyed.mapInArrow(lambda it: span_rows(it, unit, length, k), ROWS), "spans")
+    every = common.materialise(keyed.mapInArrow(lambda it: span_rows(it, unit, length, k), ROWS), "spans")
     if among == "occurrences":
-        live = rows.groupBy("route").agg(F.sum("met").alias("c")).where("c >= 2").select("route")
+        live = every.groupBy("route").agg(F.sum("met").alias("c")).where("c >= 2").select("route")
     else:
-        live = rows.groupBy("route").agg(F.min("dkey").alias("lo"), F.max("dkey").alias("hi")).where("lo < hi").select("route")
-    rows = rows.join(live, "route", "left_semi")
+        live = every.groupBy("route").agg(F.min("dkey").alias("lo"), F.max("dkey").alias("hi")).where("lo < hi").select("route")
+    rows = common.materialise(every.join(live, "route", "left_semi").drop("met"), "live")
+    common.discard(every)
 
     def contents(rows: DataFrame) -> DataFrame:
         wanted = rows.groupBy("dkey", "rid").agg(F.collect_set(F.struct("route", "sub", "n", "start")).alias("spans"))
@@ -369,9 +361,10 @@ def find(docs: DataFrame, unit: type, length: int, k: int, engine: Engine, among
     found = common.materialise(found.join(distinct.select("id", *same), "id"), "repeats")
     # a document's span is known by its hash, unless several contents have that hash: then by its content
     unsure = common.materialise(distinct.groupBy(*same).count().where("count > 1").select(*same), "unsure")
-    sure = rows
-    places = found
-    if not unsure.isEmpty():
+    sure, places = rows, found
+    if unsure.isEmpty():
+        common.discard(distinct)
+    else:
         sure, places = rows.join(unsure, same, "left_anti"), found.join(unsure, same, "left_anti")
     hits = sure.join(places, same).select("dkey", "rid", "start", F.explode("repeats").alias("r"))
     if sure is not rows:
