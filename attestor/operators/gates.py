@@ -23,6 +23,49 @@ RANKING_GATES = [
     ("runtime_median", "runtime_median", "overall", "<=", 1.5),
     ("runtime_p95", "runtime_p95", "overall", "<=", 3.0),
 ]
+#: Fixed values, as above. A gate of two conditions has two rows.
+SCREEN_GATES = [
+    ("auroc_delta", "median_auroc_delta", "overall", ">=", 0.03),
+    ("bootstrap_lower", "bootstrap_lower", "overall", ">", 0.0),
+    ("coverage_each", "median_coverage", "each", ">=", 0.97),
+    ("support_area", "median_support_area_ratio", "overall", "<=", 0.65),
+    ("fallback_each", "fallback_rate", "each", "<=", 0.45),
+    ("fallback_each", "fallback_over_baseline", "each", "<=", -0.15),
+    ("invalid_border", "invalid_border_rate", "overall", "<=", 0.05),
+    ("mass_concentration_delta", "median_mass_concentration_delta", "overall", ">=", 0.08),
+    ("auroc_regression_each", "auroc_regression", "each", "<=", 0.05),
+    ("redundancy", "redundant", "overall", "<=", 0.0),
+]
+CONTOUR_GATES = [
+    ("boundary_delta", "median_boundary_f1_delta", "overall", ">=", 0.040),
+    ("boundary_delta_each", "median_boundary_f1_delta", "each", ">=", 0.020),
+    ("bootstrap_lower", "bootstrap_lower", "overall", ">", 0.0),
+    ("dice_delta", "median_dice_delta", "overall", ">=", -0.010),
+    ("precision_delta", "median_precision_delta", "overall", ">=", 0.020),
+    ("recall_delta", "median_recall_delta", "overall", ">=", -0.015),
+    ("probability_ranking", "max_auroc_regression", "overall", "<=", 0.010),
+    ("probability_ranking", "max_auprc_regression", "overall", "<=", 0.010),
+    ("fallback_each", "fallback_rate", "each", "<=", 0.25),
+    ("invalid_border_each", "invalid_border_rate", "each", "<=", 0.05),
+    ("assd_improvement", "median_assd_relative_improvement", "overall", ">=", 0.10),
+    ("hd95_regression", "median_hd95_relative_regression", "overall", "<=", 0.02),
+    ("runtime_median", "runtime_median", "overall", "<=", 1.0),
+    ("runtime_p95", "runtime_p95", "overall", "<=", 2.0),
+]
+PROTOCOLS = {"screen": SCREEN_GATES, "ranking": RANKING_GATES, "contour": CONTOUR_GATES}
+
+
+def protocol(name: str) -> list[tuple[str, str, str, str, float]]:
+    """The gates of a protocol, under names that no other protocol has."""
+    return [(f"{name}.{gate}", *rest) for gate, *rest in PROTOCOLS[name]]
+
+
+def verdicts(results: DataFrame) -> DataFrame:
+    """(protocol, gates, failed, blocked, passed) of evaluate(): a gate passes if all its rows do, a protocol if all its gates do."""
+    worst = F.max(F.when(F.col("status") == "blocked", 2).when(F.col("status") == "failed", 1).otherwise(0)).alias("worst")
+    by_gate = results.groupBy(F.split("gate", r"\.")[0].alias("protocol"), "gate").agg(worst)
+    found = by_gate.groupBy("protocol").agg(F.count("*").alias("gates"), F.count_if(F.col("worst") == 1).alias("failed"), F.count_if(F.col("worst") == 2).alias("blocked"))
+    return found.withColumn("passed", F.col("failed") + F.col("blocked") == 0)
 
 
 def evaluate(summary: DataFrame, gates: DataFrame) -> DataFrame:
@@ -33,7 +76,7 @@ def evaluate(summary: DataFrame, gates: DataFrame) -> DataFrame:
     worst = F.when(F.col("comparison").startswith(">"), F.min("value")).otherwise(F.max("value"))
     g, s = gates.alias("g"), summary.withColumnRenamed("scope", "of").alias("s")
     fits = (F.col("g.metric") == F.col("s.metric")) & ((F.col("g.scope") == F.col("of")) | ((F.col("g.scope") == "each") & (F.col("of") != "overall")))
-    met = g.join(s, fits, "left").groupBy("gate", "comparison", "required").agg(worst.alias("observed"))
+    met = g.join(s, fits, "left").groupBy("gate", F.col("g.metric").alias("_metric"), "comparison", "required").agg(worst.alias("observed")).drop("_metric")
     o, r = F.col("observed"), F.col("required")
     ok = F.when(F.col("comparison") == ">=", o >= r).when(F.col("comparison") == ">", o > r).otherwise(o <= r)
     return met.withColumn("status", F.when(o.isNull() | F.isnan(o), "blocked").when(ok, "passed").otherwise("failed"))

@@ -113,7 +113,7 @@ def number_tokens(spark: SparkSession, sf: str) -> DataFrame:
 portable("regex_extraction", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits FROM customer")
 
 
-@query("SELECT page_id, lower(split_part(url, '/', -1)) AS name, trim(regexp_replace(lower(substr(html, 1, 400)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS phrase FROM pages")
+@query("SELECT page_id, lower(split_part(url, '/', -1)) AS name, trim(regexp_replace(lower(html), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS phrase FROM pages")
 def phrases(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     return p.select("page_id", scalars.basename(c("url")).alias("name"), scalars.phrase(c("html")).alias("phrase"))
