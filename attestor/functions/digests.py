@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 TWO_64 = 18446744073709551616.0
 
 
+#: Fixed value: white space, Unicode's too.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ENDS = rf"^{BLANK}+|{BLANK}+$"
+
+
 def clean_text(c: Column) -> Column:
-    """Null as '', white space at both ends removed."""
-    return F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    """Null as '', white space of any kind at both ends removed."""
+    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), ENDS, "")
 
 
 def stable_digest(seed: int, *values: Column) -> Column:

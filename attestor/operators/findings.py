@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values.
-FORBIDDEN = ["checkpoints", "data", "logs", "runs", "tmp", "weights"]
+#: Path segments, suffixes and patterns that must not be public. Patterns are written so that Java and RE2 read them alike.
+FORBIDDEN = [".artifacts", "checkpoints", "data", "demo_runtime", "logs", "masks", "raw_receipt", "raw_receipts", "receipts", "runs", "tmp", "uploads", "weights"]
+SCRATCH = r"^(\.dg-[^/]+|\.pt[^/]*|\.pytest([-_].*)?|\.task[^/]*|\.p7[^/]*)$"
 WEIGHTS = "ckpt|engine|mmap|onnx|pt|pth|safetensors"
-ARCHIVES = "7z|bz2|img|rar|tar|tgz|xz|zip"
-TUNNEL = r"""(?i)https?://[^\s"<>]*(trycloudflare\.com|ngrok\.(io|com))"""
-PRIVATE = r"(/(home|root|mnt|users|Users)/[A-Za-z0-9_.-]+|[A-Za-z]:\\[A-Za-z0-9_. -]+)"
-SECRET = r"(-----BEGIN [A-Z ]*PRIVATE KEY-----|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{14,}|(?i)(password|secret|token)\s*[:=]\s*\S+)"
+ARCHIVES = "7z|docker|img|ova|rar|tar|tgz|vhd|vhdx|xz|zip"
+TUNNEL = r"""(?i)https?://[^\s"'<>]*(trycloudflare\.com|cloudflareaccess\.com|ngrok(\.io|\.com))"""
+HOST = r"(?i)(^|[^A-Za-z0-9_-])[A-Za-z0-9-]+\.(trycloudflare\.com|cloudflareaccess\.com|ngrok\.io|ngrok\.com)\b"
+PRIVATE = r"""(^|[^A-Za-z0-9])([A-Za-z]:[\\/][A-Za-z0-9_. -]+|\\\\[A-Za-z0-9_.-]+[\\/][^\s"'<>]+|(/?home|/(users|Users|mnt|root|workspaces))[\\/][A-Za-z0-9_.-]+|/(opt|var)[\\/][A-Za-z0-9_.-]+)"""
+SECRET = r"(?im)(-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{20,}|\b(AWS_SECRET_ACCESS_KEY|CLOUDFLARE_API_TOKEN)\s*=\s*[^\s]+)"
 
 
 def _reasons(*rules: tuple[Column, str]) -> Column:
@@ -23,7 +25,7 @@ def path_findings(path: Column) -> Column:
     parts = F.split(p, "/")
     return _reasons(
         (F.arrays_overlap(parts, F.array(*map(F.lit, FORBIDDEN))), "forbidden path segment"),
-        (F.exists(parts, lambda x: x.rlike(r"^(\.pt[^/]*|\.pytest([-_].*)?|\.task[^/]*)$")), "scratch path"),
+        (F.exists(parts, lambda x: x.rlike(SCRATCH)), "scratch path"),
         (p.rlike(rf"\.({WEIGHTS})(\.|$)"), "model weight"),
         (p.rlike(rf"\.({ARCHIVES})(\.|$)"), "binary archive"),
         (p.endswith(".log"), "runtime log"),
@@ -34,6 +36,7 @@ def path_findings(path: Column) -> Column:
 def content_findings(text: Column, most_bytes: int) -> Column:
     return _reasons(
         (text.rlike(TUNNEL), "tunnel URL"),
+        (text.rlike(HOST), "tunnel host"),
         (text.rlike(PRIVATE), "private absolute path"),
         (text.rlike(SECRET), "secret-like material"),
         (F.octet_length(text) > most_bytes, "oversized"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import digests, scalars
+from attestor.operators import findings
 
 from .base import query, table
 
@@ -81,9 +82,9 @@ def record_group_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", key.alias("grp"))
 
 
-@query("SELECT turn, conv_id, trim(coalesce(CASE WHEN turn % 3 = 0 THEN NULL ELSE '  ' || role || ' ' END, '')) AS role FROM conversations")
+@query(f"SELECT turn, conv_id, regexp_replace(coalesce(CASE WHEN turn % 3 = 0 THEN NULL ELSE chr(9) || ' ' || role || chr(160) || chr(10) END, ''), '{digests.ENDS}', '', 'g') AS role FROM conversations")
 def normalized_text(spark: SparkSession, sf: str) -> DataFrame:
-    role = F.when(c("turn") % 3 != 0, F.concat(F.lit("  "), "role", F.lit(" ")))
+    role = F.when(c("turn") % 3 != 0, F.concat(F.lit("\t "), "role", F.lit("\u00a0\n")))
     return table(spark, sf, "conversations").select("turn", "conv_id", digests.clean_text(role).alias("role"))
 
 
@@ -94,11 +95,11 @@ def source_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", scalars.source_tokens(F.concat("p_brand", F.lit("-/"), "p_type", F.lit("_"))).alias("tokens"))
 
 
-SPLIT = "CASE doc_id % 6 WHEN 0 THEN 'train' WHEN 1 THEN ' Test-V3' WHEN 2 THEN 'PH2' WHEN 3 THEN 'my-ph2-copy' WHEN 4 THEN 'val' ELSE 'Train ' END"
+SPLIT = "CASE doc_id % 6 WHEN 0 THEN 'train' WHEN 1 THEN ' Test-V3' WHEN 2 THEN 'PH2' WHEN 3 THEN 'my-ph2-copy' WHEN 4 THEN chr(9) || 'val' || chr(10) ELSE 'Train ' END"
 
 
 @query(f"""
-WITH m AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(trim({SPLIT})), '[-/_]'), lambda x: x <> ''), '_') AS s FROM documents)
+WITH m AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace({SPLIT}, '{digests.ENDS}', '', 'g')), '[-/_]'), lambda x: x <> ''), '_') AS s FROM documents)
 SELECT doc_id, s AS split FROM m
 WHERE NOT (s IN ('val','validation','test','test_v3','ph2','external','external_audit') OR list_contains(string_split(s, '_'), 'ph2'))
 """)
@@ -247,29 +248,28 @@ def private_path(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT doc_id, lower(CASE doc_id % 8 WHEN 0 THEN 'Runs/a' || doc_id || '.txt' WHEN 1 THEN 'src/m.PTH' WHEN 2 THEN 'docs/x.tar.gz' WHEN 3 THEN 'out/run.log' WHEN 4 THEN 'a/raw_receipt.json' WHEN 5 THEN '.pytest_cache/x' ELSE 'src/ok.py' END) AS path FROM documents)
-SELECT doc_id, 'forbidden path segment' AS finding FROM p WHERE list_has_any(string_split(path, '/'), ['data', 'logs', 'runs', 'tmp', 'weights', 'checkpoints'])
-UNION ALL SELECT doc_id, 'model weight' FROM p WHERE regexp_matches(path, '\\.(ckpt|engine|mmap|onnx|pt|pth|safetensors)(\\.|$)')
-UNION ALL SELECT doc_id, 'binary archive' FROM p WHERE regexp_matches(path, '\\.(7z|bz2|img|rar|tar|tgz|xz|zip)(\\.|$)')
+WITH p AS (SELECT doc_id, lower(CASE doc_id % 8 WHEN 0 THEN 'Runs/a' || doc_id || '.txt' WHEN 1 THEN 'src/m.PTH' WHEN 2 THEN 'docs/x.tar.gz' WHEN 3 THEN 'out/run.log' WHEN 4 THEN 'a/raw_receipt.json' WHEN 5 THEN '.pytest_cache/x' WHEN 6 THEN 'x/.dg-1/uploads/disk.vhdx' ELSE 'src/ok.py' END) AS path FROM documents)
+SELECT doc_id, 'forbidden path segment' AS finding FROM p WHERE list_has_any(string_split(path, '/'), ["""
+    + ", ".join(f"'{x}'" for x in findings.FORBIDDEN)
+    + f"""])
+UNION ALL SELECT doc_id, 'model weight' FROM p WHERE regexp_matches(path, '\\.({findings.WEIGHTS})(\\.|$)')
+UNION ALL SELECT doc_id, 'binary archive' FROM p WHERE regexp_matches(path, '\\.({findings.ARCHIVES})(\\.|$)')
 UNION ALL SELECT doc_id, 'runtime log' FROM p WHERE path LIKE '%.log'
 UNION ALL SELECT doc_id, 'raw receipt' FROM p WHERE path LIKE '%raw_receipt%'
-UNION ALL SELECT doc_id, 'scratch path' FROM p WHERE list_has_any(string_split(path, '/'), ['.pytest_cache'])
+UNION ALL SELECT doc_id, 'scratch path' FROM p WHERE len(list_filter(string_split(path, '/'), lambda x: regexp_matches(x, '{findings.SCRATCH}'))) > 0
 """)
 def path_findings(spark: SparkSession, sf: str) -> DataFrame:
-    from attestor.operators.findings import path_findings as find
-
-    kinds = "CASE doc_id % 8 WHEN 0 THEN concat('Runs/a', doc_id, '.txt') WHEN 1 THEN 'src/m.PTH' WHEN 2 THEN 'docs/x.tar.gz' WHEN 3 THEN 'out/run.log' WHEN 4 THEN 'a/raw_receipt.json' WHEN 5 THEN '.pytest_cache/x' ELSE 'src/ok.py' END"
+    kinds = "CASE doc_id % 8 WHEN 0 THEN concat('Runs/a', doc_id, '.txt') WHEN 1 THEN 'src/m.PTH' WHEN 2 THEN 'docs/x.tar.gz' WHEN 3 THEN 'out/run.log' WHEN 4 THEN 'a/raw_receipt.json' WHEN 5 THEN '.pytest_cache/x' WHEN 6 THEN 'x/.dg-1/uploads/disk.vhdx' ELSE 'src/ok.py' END"
     paths = table(spark, sf, "documents").select("doc_id", F.expr(kinds).alias("path"))
-    return paths.select("doc_id", F.explode(find(c("path"))).alias("finding"))
+    return paths.select("doc_id", F.explode(findings.path_findings(c("path"))).alias("finding"))
 
 
-@query("""
-SELECT doc_id, 'tunnel URL' AS finding FROM documents WHERE regexp_matches(text, '(?i)https?://[^\\s"<>]*(trycloudflare\\.com|ngrok\\.(io|com))')
-UNION ALL SELECT doc_id, 'private absolute path' FROM documents WHERE regexp_matches(text, '(/(home|root|mnt|users|Users)/[A-Za-z0-9_.-]+|[A-Za-z]:\\\\[A-Za-z0-9_. -]+)')
-UNION ALL SELECT doc_id, 'secret-like material' FROM documents WHERE regexp_matches(text, '(-----BEGIN [A-Z ]*PRIVATE KEY-----|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{14,}|(?i)(password|secret|token)\\s*[:=]\\s*\\S+)')
-UNION ALL SELECT doc_id, 'oversized' FROM documents WHERE strlen(text) > 20000
-""")
+@query(
+    " UNION ALL ".join(
+        f"SELECT doc_id, '{name}' AS finding FROM documents WHERE regexp_matches(text, '{pattern}')"
+        for name, pattern in (("tunnel URL", findings.TUNNEL), ("tunnel host", findings.HOST), ("private absolute path", findings.PRIVATE), ("secret-like material", findings.SECRET))
+    ).replace("\"'<>]", "\"''<>]")
+    + " UNION ALL SELECT doc_id, 'oversized' FROM documents WHERE strlen(text) > 20000"
+)
 def content_findings(spark: SparkSession, sf: str) -> DataFrame:
-    from attestor.operators.findings import content_findings as find
-
-    return table(spark, sf, "documents").select("doc_id", F.explode(find(c("text"), 20000)).alias("finding"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(findings.content_findings(c("text"), 20000)).alias("finding"))
