@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Uses spark.checkpoint.dir; sets a temporary folder only where it is unset, as in local tests."""
+    """Uses spark.checkpoint.dir; sets a temporary folder only where it is unset in local mode, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='attestor-cp-')}")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and ("local-cluster" in sc.master or not sc.master.startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='attestor-cp-')}")
 
 
 def stars(links: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:

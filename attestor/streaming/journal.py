@@ -51,8 +51,7 @@ def guard_generations(requests: DataFrame, idle: str = "3600000") -> DataFrame:
             return
         newest = state.get[0] if state.exists else -1
         for f in frames:
-            f = f.sort_values("generation")
-            ok = []
+            ok = []  # in the order of arrival
             for g in f["generation"]:
                 ok.append(bool(g >= newest))
                 newest = max(newest, int(g))
