@@ -44,7 +44,8 @@ def _and(a: Query, b: Query) -> Query:
 
 
 def _of_strings(strings: set[str]) -> Query:
-    return _least([frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings])
+    """Only ASCII trigrams are asked for: the index folds the case of A-Z alone."""
+    return _least([frozenset(s[i : i + 3] for i in range(len(s) - 2) if s[i : i + 3].isascii()) for s in strings])
 
 
 def _node(op, av) -> tuple[set[str] | None, Query]:
@@ -89,19 +90,58 @@ def _sequence(nodes) -> tuple[set[str] | None, Query]:
 def trigram_query(pattern: str, flags: int) -> Query:
     """The trigrams, in lower case, that every text with a match contains; TRUE if none are mandatory."""
     strings, query = _sequence(_parser.parse(pattern, flags))
-    return query if strings is None else _of_strings(strings)
+    query = query if strings is None else _of_strings(strings)
+    if flags & re.I and not flags & re.A:  # there i, k and s match letters beyond ASCII as well
+        query = _least([frozenset(t for t in x if not set(t) & set("iks")) for x in query])
+    return query
+
+
+#: A segment is indexed by parts of so many bytes.
+PART = 1 << 22
 
 
 class Scanner:
     def __init__(self, rules: list[tuple[str, str, int, int, int]]):
         self.rules = [(kind, re.compile(p, flags), group, least, trigram_query(p, flags)) for kind, p, flags, group, least in rules]
         self.trigrams = sorted({t for *_, q in self.rules for x in q for t in x})
+        self.number = np.zeros(1 << 24, np.uint16)  # of each trigram's 24 bits, from 1
+        for i, t in enumerate(self.trigrams):
+            self.number[int.from_bytes(t.encode(), "big")] = i + 1
+
+    def _numbers(self, raw: bytes) -> np.ndarray:
+        b = np.frombuffer(raw, np.uint8).astype(np.int32)
+        return self.number[(b[:-2] << 16) | (b[1:-1] << 8) | b[2:]]
+
+    def postings(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """The inverted index of this segment: for each trigram that a query names the texts that hold it, in order.
+
+        One pass over the bytes. Texts lie side by side, parted by two zeros, which no named trigram holds.
+        """
+        pairs = [np.empty(0, np.int64)]
+        part: list[bytes] = []
+        first = size = 0
+        for i, text in enumerate(texts):
+            raw = text.encode().lower()
+            part.append(raw)
+            size += len(raw)
+            if size < PART and i < len(texts) - 1:
+                continue
+            joined = b"\0\0".join(part)
+            start = np.cumsum([0, *(len(x) + 2 for x in part[:-1])])
+            for at in range(0, len(joined), PART):
+                number = self._numbers(joined[at : at + PART + 2])
+                hit = np.flatnonzero(number)
+                doc = first + np.searchsorted(start, hit + at, "right") - 1
+                pairs.append(np.unique(number[hit].astype(np.int64) * len(texts) + doc))
+            first, part, size = i + 1, [], 0
+        number, doc = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(texts)))
+        cut = np.searchsorted(number, np.arange(1, len(self.trigrams) + 2))
+        return {t: doc[cut[i] : cut[i + 1]] for i, t in enumerate(self.trigrams)}
 
     def candidates(self, texts: list[str]) -> list[np.ndarray]:
-        """For each rule the texts to verify: the inverted index of this segment, its postings intersected and united."""
-        lower = [t.lower() for t in texts]
+        """For each rule the texts to verify: postings intersected and united as its query says."""
         everything = np.arange(len(texts))
-        postings = {t: np.array([i for i, x in enumerate(lower) if t in x], np.int64) for t in self.trigrams}
+        postings = self.postings(texts)
         out = []
         for *_, query in self.rules:
             hits = []
@@ -132,7 +172,8 @@ def scan(docs: DataFrame, rules: list[tuple[str, str, int, int, int]] | None = N
     Each segment of documents gets an inverted index of the trigrams that the rules' Boolean queries name. A rule's
     candidates come from its postings and are verified by the regular expression over the whole text; a rule without
     mandatory trigrams scans every text. Matches of a kind are leftmost and don't overlap; too short ones are dropped, but
-    use up their text. Null text counts as empty; rows are independent, so repeated rows and null ids stay as they are;
+    use up their text. Null text counts as empty; very long texts are indexed by parts and verified whole; an empty table
+    gives no rows; rows are independent, so repeated rows and null ids stay as they are;
     other columns are ignored.
     """
     rules = rules or RULES
