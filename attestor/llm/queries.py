@@ -22,8 +22,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.revision_edits().alias("edits"))
-    return token_counts.count(docs, *_vocabulary())
+    """Trees of all documents are written; then each gets the edits of a production revision and is counted again."""
+    trees = common.materialise(token_counts.plant(common.table(spark, sf_dir, "documents"), *_vocabulary()), "trees")
+    return token_counts.revise(trees.withColumn("edits", token_counts.revision_edits()), *_vocabulary(), keep=False)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
