@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block_rows: int = 16, per_buck
     weights = {OTHER: 1} | weights
     named = {k: v for k, v in weights.items() if k != OTHER}
     weight = lambda pool: F.element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v)))), F.col(pool)).cast("long")
-    own = [x for x in docs.columns if x not in ("pool", "block", "slot", "position")]
+    own = [F.col("`" + x.replace("`", "``") + "`") for x in docs.columns if x not in ("pool", "block", "slot", "position")]
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     docs = docs.select(F.struct(*own).alias("_row"), "doc_id", "source", text.alias("text"))
     placed = in_pools(docs, named, per_bucket)
@@ -123,5 +123,5 @@ def mix(docs: DataFrame, weights: dict[str, int], block_rows: int = 16, per_buck
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, int], block_rows: int = 16) -> DataFrame:
-    """The documents themselves, with their own columns only, sorted into the order of mix()."""
-    return mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"), weights, block_rows).orderBy("position").select("_doc.*")
+    """The documents themselves, with their own columns only, sorted into the order of mix(); nulls, repeated rows and empty tables as there."""
+    return mix(docs.select(F.struct("*").alias("_doc"), "doc_id", "source", "text"), weights, block_rows).orderBy("position").select("_doc.*")
