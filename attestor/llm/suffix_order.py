@@ -5,22 +5,33 @@ from __future__ import annotations
 import numpy as np
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (below 2 ** bits) in order, and the places they came from; equal keys in any order."""
+    low = max(1, len(key)).bit_length()
+    if bits + low <= 63:  # key and place in one integer: sorting values is much cheaper than sorting places
+        both = (key << low) | np.arange(len(key))
+        both.sort()
+        return both >> low, both & ((1 << low) - 1)
+    by = np.argsort(key)
+    return key[by], by
+
+
 def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense names from 1, in lexicographic order of the triples; and how many there are."""
     bits = int(max(a.max(initial=0), b.max(initial=0), c.max(initial=0))).bit_length()
     if 3 * bits <= 63:
-        key = (a.astype(np.int64) << (2 * bits)) | (b.astype(np.int64) << bits) | c
+        key, bits = (a.astype(np.int64) << (2 * bits)) | (b.astype(np.int64) << bits) | c, 3 * bits
     else:  # name the pairs first, so that the key still fits
         key = (a.astype(np.int64) << 31) | b
-        key = (np.unique(key, return_inverse=True)[1].astype(np.int64) << 31) | c
-    order = np.argsort(key)
-    key = key[order]
+        key, bits = (np.unique(key, return_inverse=True)[1].astype(np.int64) << 31) | c, 63
+    key, by = _sorted(key, bits)
     new = np.empty(len(key), np.int32)
     new[:1] = 1
-    new[1:] = key[1:] != key[:-1]
+    np.not_equal(key[1:], key[:-1], out=new[1:], casting="unsafe")
+    name = np.cumsum(new, dtype=np.int32)
     out = np.empty(len(key), np.int32)
-    out[order] = np.cumsum(new)
-    return out, int(new.sum())
+    out[by] = name
+    return out, int(name[-1]) if len(name) else 0
 
 
 def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
@@ -36,47 +47,47 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     p = np.zeros(n + 6, np.int32)
     p[:n] = s
     if depth <= 3:
-        names, _ = _names(p[:n], p[1 : n + 1], p[2 : n + 2])
+        names, many = _names(p[:n], p[1 : n + 1], p[2 : n + 2])
         rank = np.empty(n, np.int32)
-        rank[np.argsort(names)] = np.arange(n, dtype=np.int32)
+        rank[_sorted(names.astype(np.int64), many.bit_length())[1]] = np.arange(n, dtype=np.int32)
         return rank
-    one, two, zero = (np.arange(i, n + (i == 1 and n % 3 == 1), 3) for i in (1, 2, 0))
-    sample = np.concatenate([one, two])
-    names, many = _names(p[sample], p[sample + 1], p[sample + 2])
-    if many < len(sample):
-        text = np.zeros(len(sample) + 1, np.int32)  # a zero parts the two halves
-        text[: len(one)], text[len(one) + 1 :] = names[: len(one)], names[len(one) :]
+    phantom = n % 3 == 1  # the empty suffix at n then belongs to the sample
+    zeros, ones, twos = -(-n // 3), -(-(n - 1) // 3) + phantom, -(-max(0, n - 2) // 3)
+    every = lambda x, i, many: x[i : i + 3 * many : 3]
+    names, many = _names(*(np.concatenate([every(p, 1 + i, ones), every(p, 2 + i, twos)]) for i in range(3)))
+    if many < len(names):
+        text = np.zeros(len(names) + 1, np.int32)  # a zero parts the two halves
+        text[:ones], text[ones + 1 :] = names[:ones], names[ones:]
         inner = suffix_ranks(text, -(-depth // 3))
-        names = np.concatenate([inner[: len(one)], inner[len(one) + 1 :]]) + 1
+        names = np.concatenate([inner[:ones], inner[ones + 1 :]]) + 1
     r = np.zeros(n + 6, np.int64)
-    r[sample] = names
-    del names, sample
-    wide = int(r.max()).bit_length()
-    lo = int(p.max()).bit_length()
-    pair = lambda i: (p[i].astype(np.int64) << wide) | r[i + 1]
-    by_zero = zero[np.argsort(pair(zero))]
-    one, two = one[one < n], two[two < n]
-    by_one = one[np.argsort(r[one])]
-    by_two = two[np.argsort(r[two])]
-    below = np.searchsorted(pair(by_one), pair(by_zero))
+    every(r, 1, ones)[:], every(r, 2, twos)[:] = names[:ones], names[ones:]
+    # ranks differ and are at most one more than there are, so a place for each puts the sample in order without sorting it
+    place = np.full(len(names) + 2, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    if phantom:
+        place[names[ones - 1]] = -1
+    sample = place[place >= 0]  # numbers of the ones, then of the twos
+    del names, place
+    wide, lo = int(r.max()).bit_length(), int(p.max()).bit_length()
+    first = sample < ones
+    by_one, by_two = sample[first], sample[~first] - ones
+    pair = lambda i, many: (every(p, i, many).astype(np.int64) << wide) | every(r, i + 1, many)
+    key, by_zero = _sorted(pair(0, zeros), lo + wide)
+    below = np.searchsorted(pair(1, ones)[by_one], key)
     if 2 * lo + wide <= 63:
-        triple = lambda i: (p[i].astype(np.int64) << (lo + wide)) | (p[i + 1].astype(np.int64) << wide) | r[i + 2]
-        below = below + np.searchsorted(triple(by_two), triple(by_zero))
+        triple = lambda i, many: (every(p, i, many).astype(np.int64) << (lo + wide)) | pair(i + 1, many)
+        below += np.searchsorted(triple(2, twos)[by_two], triple(0, zeros)[by_zero])
     else:  # name the second part (symbol and rank), then compare with the first symbol
-        second = lambda i: (p[i + 1].astype(np.int64) << wide) | r[i + 2]
-        both = np.unique(np.concatenate([second(by_two), second(by_zero)]), return_inverse=True)[1].astype(np.int64)
-        key = (np.concatenate([p[by_two], p[by_zero]]).astype(np.int64) << 32) | both
-        below = below + np.searchsorted(key[: len(by_two)], key[len(by_two) :])
-    below = np.maximum.accumulate(below)
-    sampled = np.concatenate([one, two])
-    sampled = sampled[np.argsort(r[sampled])]
-    order = np.empty(n, np.int64)
-    at = below + np.arange(len(by_zero))
+        both = np.unique(np.concatenate([pair(3, twos)[by_two], pair(1, zeros)[by_zero]]), return_inverse=True)[1].astype(np.int64)
+        key = (np.concatenate([every(p, 2, twos)[by_two], every(p, 0, zeros)[by_zero]]).astype(np.int64) << 32) | both
+        below += np.searchsorted(key[:twos], key[twos:])
+    at = np.maximum.accumulate(below) + np.arange(zeros)
     rest = np.ones(n, bool)
     rest[at] = False
-    order[at], order[rest] = by_zero, sampled
-    rank = np.empty(n, np.int32)
-    rank[order] = np.arange(n, dtype=np.int32)
+    rank, placed, sampled = np.empty(n, np.int32), np.empty(zeros, np.int32), np.empty(ones + twos, np.int32)
+    placed[by_zero], sampled[sample] = at, np.flatnonzero(rest)
+    rank[::3], rank[1::3], rank[2::3] = placed, sampled[: ones - phantom], sampled[ones:]
     return rank
 
 
@@ -99,8 +110,10 @@ def equal_windows(s: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     if len(starts) == 0:
         return np.empty(0, np.int64)
     rank = suffix_ranks(s, length)
-    by = np.argsort(rank[starts])
-    del rank
+    window = np.full(len(s), -1, np.int64)  # of each place in the order: the window that starts there
+    window[rank[starts]] = np.arange(len(starts))
+    by = window[window >= 0]
+    del rank, window
     i, j = starts[by[:-1]], starts[by[1:]]
     live = np.arange(len(i))
     word, per = _words(s, length)
