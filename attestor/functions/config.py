@@ -34,15 +34,29 @@ def expand(value: object, env: dict[str, str] | None = None) -> object:
 
 
 def load(path: str | Path, env: dict[str, str] | None = None, seen: tuple[Path, ...] = ()) -> dict:
-    """A JSON tree whose `extends` names its parent; cycles are an error."""
+    """A JSON or YAML tree whose `extends` names its parent; cycles are an error, an empty file is an empty tree.
+
+    A parent is looked up beside the file, then beside each folder above it.
+    """
     path = Path(path).resolve()
     if path in seen:
         raise ValueError("the configuration extends itself")
-    tree = json.loads(path.read_text())
+    tree = expand(_parse(path), env)
     parent = tree.pop("extends", None)
     if parent:
-        tree = deep_merge(load(path.parent / parent, env, (*seen, path)), tree)
-    return expand(tree, env)
+        places = [folder / parent for folder in path.parents]
+        tree = deep_merge(load(next((p for p in places if p.exists()), places[0]), env, (*seen, path)), tree)
+    return tree
+
+
+def _parse(path: Path) -> dict:
+    if path.suffix not in (".yaml", ".yml"):
+        return json.loads(path.read_text())
+    try:
+        import yaml
+    except ImportError:
+        raise ValueError(f"{path.name}: PyYAML is not installed") from None
+    return yaml.safe_load(path.read_text()) or {}
 
 
 #: Rules by dotted path: (type, least, most).
