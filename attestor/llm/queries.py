@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, mixing, periodic, secrets, simhash, substring_dedup, suffix_dedup, token_counts, topk, toxicity
+from . import alignment, bpe, common, exact_dedup, mixing, periodic, secrets, simhash, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 
 
 def _vocabulary() -> tuple[str, str]:
@@ -77,6 +77,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(many, ("assign", "access", "hex")), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found, _ = alignment.align(common.table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def with_periods(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """A tenth of the documents repeat a passage from a word on to their end, by the contract's rule; others stay as they are."""
     h = zlib.crc32(str(doc_id).encode())
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
