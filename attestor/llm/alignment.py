@@ -10,15 +10,14 @@ and joins the counts back to the blocks.
 from __future__ import annotations
 
 import json
-from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,7 +26,7 @@ from . import common
 SEGMENT = r"(?s).(?:[^ ]+|(?<=[\s▁\x1c-\x1f]) | \Z)*"
 #: Longer segments are not kept from one block to the next.
 KEPT_CHARS = 64
-Merged = tuple[int, int, int, str, list[tuple[int, int]]]  # tokens of A, of B, groups, the groups as text, links
+Merged = tuple[int, int, int, str, list[int]]  # tokens of A, of B, groups, the groups as text, links (A's id << 32 | B's)
 
 
 def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -53,7 +52,7 @@ def _byte_letters() -> dict[str, int]:
 class Tokenizers:
     """Two tokenizers, the bytes of their tokens, and merged segments: a byte-level BPE (A) and a piece model that adds a space (B)."""
 
-    def __init__(self, path_a: str, path_b: str, cache: int = 100_000):
+    def __init__(self, path_a: str, path_b: str, cache: int = 300_000):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -63,9 +62,11 @@ class Tokenizers:
         self.bytes_a = {k: bytes(letters[c] for c in x) for x, k in self.a.get_vocab().items() if all(c in letters for c in x)}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
-        self.cut = regex.compile(SEGMENT).findall if self._ends_before_spaces(pieces) else lambda text: [text]
+        self.local = self._ends_before_spaces(pieces)
+        self.cut = regex.compile(SEGMENT).findall if self.local else lambda text: [text]
         self.known: dict[str, Merged | None] = {}
-        self.most = cache
+        self.older: dict[str, Merged | None] = {}
+        self.most = cache // 2
 
     def _ends_before_spaces(self, pieces: list[str]) -> bool:
         """Whether A splits by the pattern of byte-level BPE and no piece of B goes on with a space after anything else."""
@@ -73,57 +74,90 @@ class Tokenizers:
         before = spec["pre_tokenizer"] or {}
         return spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any("▁" in x.lstrip("▁") for x in pieces)
 
-    def learn(self, segments: list[str]) -> dict[str, Merged | None]:
-        """What becomes of these segments: None if the bytes of either side's tokens aren't those of the segment."""
-        out = {s: self.known[s] for s in segments if s in self.known}
-        new = [s for s in segments if s not in out]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for s, x, b in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False), self.b.encode([s[1:] for s in part], num_threads=1), strict=True):
-                out[s] = self._merged(s, x.ids, b)
-        if len(self.known) > self.most:
-            self.known.clear()
+    def learn(self, segments: list[str]) -> list[Merged | None]:
+        """What becomes of each of these segments: None if the bytes of either side's tokens aren't those of the segment."""
+        out: dict[str, Merged | None] = {}
+        new = []
+        for s in segments:
+            if s in self.known:
+                out[s] = self.known[s]
+            elif s in self.older:
+                out[s] = self.known[s] = self.older[s]
+            else:
+                new.append(s)
+        for at in range(0, len(new), 1024):
+            self._encode(new[at : at + 1024], out)
         self.known.update((s, out[s]) for s in new if len(s) <= KEPT_CHARS)
-        return out
-
-    def _merged(self, segment: str, a: list[int], b: list[int]) -> Merged | None:
+        if len(self.known) > self.most:  # what was used since the last time stays
+            self.known, self.older = {}, self.known
+        return [out[s] for s in segments]
+
+    def _encode(self, segments: list[str], out: dict[str, Merged | None]) -> None:
+        """Encodes segments as one text, since none depends on what surrounds it, and halves them where bytes aren't given back."""
+        if not self.local and len(segments) > 1:
+            for s in segments:
+                self._encode([s], out)
+            return
+        text = "".join(segments)
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
         parts_a, parts_b = [self.bytes_a.get(k, b"") for k in a], [self.bytes_b[k] for k in b]
-        raw = segment.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        groups, links = merge([*accumulate(map(len, parts_a))], [*accumulate(map(len, parts_b))])
-        text, i, j = [], 0, 0
-        for i_, j_ in groups:
-            text.append(f"{','.join(map(str, a[i:i_]))}|{','.join(map(str, b[j:j_]))}")
-            i, j = i_, j_
-        return len(a), len(b), len(groups), ";".join(text), [(a[i], b[j]) for i, j in links]
+        raw = text.encode()
+        if b"".join(parts_a) == raw and b"".join(parts_b) == raw:
+            self._merge(segments, a, b, [*accumulate(map(len, parts_a))], [*accumulate(map(len, parts_b))], out)
+        elif len(segments) == 1:
+            out[segments[0]] = None
+        else:
+            self._encode(segments[: len(segments) // 2], out)
+            self._encode(segments[len(segments) // 2 :], out)
+
+    def _merge(self, segments: list[str], a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], out: dict[str, Merged | None]) -> None:
+        groups, links = merge(ends_a, ends_b)
+        names_a, names_b = [*map(str, a)], [*map(str, b)]
+        texts = [f"{','.join(names_a[i:i_])}|{','.join(names_b[j:j_])}" for (i, j), (i_, j_) in zip([(0, 0), *groups], groups, strict=False)]
+        at_a, at_b = np.array(links).T
+        pairs = (np.array(a, np.int64)[at_a] << 32 | np.array(b, np.int64)[at_b]).tolist()
+        ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in segments])
+        first = lambda x: [0, *np.searchsorted(x, ends, "right").tolist()]
+        i, j, g = first(ends_a), first(ends_b), first(np.array(ends_a)[[x - 1 for x, _ in groups]])
+        k = [0, *np.searchsorted(at_a, i[1:]).tolist()]
+        for n, s in enumerate(segments):
+            out[s] = i[n + 1] - i[n], j[n + 1] - j[n], g[n + 1] - g[n], ";".join(texts[g[n] : g[n + 1]]), pairs[k[n] : k[n + 1]]
+
+
+DOCUMENT = "id string, groups string, n_a long, n_b long, n_groups long, n_links long"
+BLOCK = f"block long, documents array<struct<{DOCUMENT.replace(' ', ':').replace(',:', ',')}>>, doc_ends binary, segments binary, pair_ends binary, pairs binary, a array<int>, b array<int>, n array<long>"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The integers in two or four bytes each; the first byte tells how many."""
+    kind = np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32
+    return bytes([kind().itemsize]) + x.astype(kind).tobytes()
 
 
-BLOCK = "block long, ids array<string>, doc_ends binary, segments binary, n_a binary, n_b binary, n_groups binary, texts array<string>, pair_ends binary, pairs binary, a array<int>, b array<int>, n array<long>"
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint16 if x[0] == 2 else np.uint32, offset=1).astype(np.int64)
 
 
 def _block(number: int, ids: list[str | None], texts: list[str | None], t: Tokenizers) -> dict[str, object]:
     """Each document as places of its segments among the block's distinct ones, and each of these with the places of its links among the block's pairs."""
     place: dict[str, int] = {}
     of = [[place.setdefault(s, len(place)) for s in t.cut(" " + text)] if text else [] for text in texts]
-    learned = t.learn([*place])
-    merged = [learned[s] for s in place]
-    of = [[] if any(merged[k] is None for k in doc) else doc for doc in of]
-    used = Counter(k for doc in of for k in doc)
-    pair: dict[tuple[int, int], int] = {}
-    many: Counter[int] = Counter()
-    pairs, ends = [], []
-    for k, m in enumerate(merged):
-        for link in m[4] if m and k in used else ():
-            pairs.append(x := pair.setdefault(link, len(pair)))
-            many[x] += used[k]
-        ends.append(len(pairs))
-    ints = lambda x: np.array(x, np.int64).tobytes()
-    field = lambda i: ints([m[i] if m else 0 for m in merged])
+    merged = t.learn([*place])
+    bad = {k for k, m in enumerate(merged) if m is None}
+    if bad:
+        of = [[] if bad.intersection(doc) else doc for doc in of]
+        merged = [m or (0, 0, 0, "", []) for m in merged]
+    doc_ends = np.cumsum([0, *map(len, of)])[1:]
+    flat = np.fromiter(chain.from_iterable(of), np.int64, doc_ends[-1])
+    many = np.array([len(m[4]) for m in merged], np.int64)
+    pair, at = np.unique(np.fromiter(chain.from_iterable([m[4] for m in merged]), np.int64, many.sum()), return_inverse=True)
+    used = np.bincount(flat, minlength=len(merged))
+    n = np.bincount(at, np.repeat(used, many), len(pair)).astype(np.int64)  # whole numbers below 2 ** 53
+    total = [_sums(np.array([m[i] for m in merged], np.int64)[flat], doc_ends).tolist() for i in range(3)] + [_sums(many[flat], doc_ends).tolist()]
+    groups = [";".join([merged[k][3] for k in doc]) for doc in of]
     return {
-        "block": number, "ids": ids, "doc_ends": ints([*accumulate(map(len, of))]), "segments": np.array([k for doc in of for k in doc], np.int32).tobytes(),
-        "n_a": field(0), "n_b": field(1), "n_groups": field(2), "texts": [m[3] if m else "" for m in merged],
-        "pair_ends": ints(ends), "pairs": np.array(pairs, np.int32).tobytes(), "a": [a for a, _ in pair], "b": [b for _, b in pair], "n": [many[x] for x in range(len(pair))],
+        "block": number, "documents": [*zip(ids, groups, *total, strict=True)], "doc_ends": _packed(doc_ends), "segments": _packed(flat),
+        "pair_ends": _packed(np.cumsum(many)), "pairs": _packed(at), "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n,
     }
 
 
@@ -136,27 +170,25 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 COUNTED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "n_best_a", "count_sum"]
 
 
-def _documents(r: object) -> pd.DataFrame:
-    """A block's documents with sums over their segments; r: its row, with each pair's count and whether it is the highest of its ids."""
-    longs = lambda x: np.frombuffer(x, np.int64)
-    segments, doc_ends, pairs, pair_ends = np.frombuffer(r.segments, np.int32), longs(r.doc_ends), np.frombuffer(r.pairs, np.int32), longs(r.pair_ends)
-    values = {x: longs(getattr(r, x)) for x in ("n_a", "n_b", "n_groups")} | {"n_links": np.diff(np.r_[0, pair_ends])}
-    for name, of in (("n_best", r.best_b), ("n_best_a", r.best_a), ("count_sum", r.counts)):
-        each = np.zeros(0, np.int64) if of is None else np.asarray(of, np.int64)
-        values[name] = _sums(each[pairs], pair_ends)
-    texts = r.texts
-    groups = [";".join([texts[k] for k in segments[a:b].tolist()]) for a, b in zip([0, *doc_ends[:-1].tolist()], doc_ends.tolist(), strict=True)]
-    return pd.DataFrame({"id": list(r.ids), "groups": groups} | {x: _sums(values[x][segments], doc_ends) for x in COUNTED})
+def _documents(r: object, n: np.ndarray, most_a: np.ndarray, most_b: np.ndarray) -> pd.DataFrame:
+    """A block's documents with sums over their segments; n, most_a, most_b: of each pair of the block."""
+    segments, doc_ends, pairs, pair_ends = map(_unpacked, (r.segments, r.doc_ends, r.pairs, r.pair_ends))
+    out = pd.DataFrame([*map(dict, r.documents)] if isinstance(r.documents[0], dict) else [*r.documents])
+    for name, each in (("n_best", n == most_b), ("n_best_a", n == most_a), ("count_sum", n)):
+        out[name] = _sums(_sums(each.astype(np.int64)[pairs], pair_ends)[segments], doc_ends)
+    return out
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, at_once: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, path_a: str, path_b: str, keep: Callable[[Column], Column] = lambda groups: groups, at_once: int = 1 << 20, most_sent: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables. Documents: doc_id, groups, n_a, n_b, n_groups, n_links, n_best, n_best_a, count_sum. Pairs: a, b, n, most_a, most_b.
 
     A encodes a space and the text, B the text, to which it adds the space; neither adds special tokens, and their strings in a
-    text are plain text. Byte offsets where tokens of both sides end cut these into groups, written as `a1,a2|b1;a3|b2,b3`. A
-    link is a pair of tokens whose bytes overlap. n: how many links of all documents join these two ids; most_a, most_b: the
-    highest n of the id of that side. n_best: a document's links whose n is the highest of their B id, ties included (n_best_a:
-    of their A id); count_sum: the sum of n over its links.
+    text are plain text. Byte offsets where tokens of both sides end cut these into groups, written as `a1,a2|b1;a3|b2,b3`
+    (`keep` makes of it what goes on, a digest, say). A link is a pair of tokens whose bytes overlap. n: how many links of all
+    documents join these two ids; most_a, most_b: the highest n of the id of that side. n_best: a document's links whose n is
+    the highest of their B id, ties included (n_best_a: of their A id); count_sum: the sum of n over its links.
+
+    Up to `most_sent` distinct pairs of ids go to all tasks; more are joined to the blocks that hold them.
 
     Null and empty texts, and those whose bytes the tokens of either side don't give back, have no tokens: zeros and an empty
     text. A text of any length is aligned whole; rows that repeat a doc_id or have none are aligned one by one (and all count);
@@ -178,22 +210,49 @@ def align(docs: DataFrame, path_a: str, path_b: str, at_once: int = 1 << 19) ->
         if ids:
             yield pd.DataFrame([_block(number, ids, texts, t)])
 
-    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = docs.selectExpr("cast(doc_id as string) id", "text").mapInPandas(aligned, BLOCK)
+    kept = lambda d: F.struct(d.id.alias("id"), keep(d.groups).alias("groups"), *(d[x].alias(x) for x in ("n_a", "n_b", "n_groups", "n_links")))
+    blocks = common.materialise(blocks.withColumn("documents", F.transform("documents", kept)), "blocks")
+    each = blocks.select("block", F.posexplode(F.arrays_zip("a", "b", "n")).alias("place", "x")).select("block", "place", "x.*")
+    pairs = common.materialise(each.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    most = lambda side: pairs.groupBy(side).agg(F.max("n").alias(f"most_{side}"))
+    pairs = common.materialise(pairs.join(most("a"), "a").join(most("b"), "b").select("a", "b", "n", "most_a", "most_b"), "counted-pairs")
+    if pairs.count() <= most_sent:
+        out = _with_all_pairs(blocks.drop("n"), pairs)
+    else:
+        out = _with_own_pairs(blocks.drop("a", "b", "n"), each.drop("n").join(pairs, ["a", "b"]))
+    return out.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "groups", *COUNTED), pairs
+
+
+def _output(blocks: DataFrame) -> str:
+    kind = blocks.schema["documents"].dataType.elementType["groups"].dataType.simpleString()
+    return f"id string, groups {kind}, " + ", ".join(f"{x} long" for x in COUNTED)
+
+
+def _with_all_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Looks pairs up in a table that each task holds whole, in the order of a and b."""
+    t = pairs.orderBy("a", "b").toArrow()
+    columns = [np.asarray(t.column(x).to_numpy(), np.int64) for x in ("a", "b", "n", "most_a", "most_b")]
+    sent = blocks.sparkSession.sparkContext.broadcast((columns[0] << 32 | columns[1], *columns[2:]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, *values = sent.value
         for frame in frames:
             for r in frame.itertuples():
-                yield _documents(r)
+                at = np.searchsorted(key, np.asarray(r.a, np.int64) << 32 | np.asarray(r.b, np.int64))
+                yield _documents(r, *(x[at] for x in values))
 
-    blocks = common.materialise(docs.selectExpr("cast(doc_id as string) id", "text").mapInPandas(aligned, BLOCK), "blocks")
-    each = blocks.select("block", F.posexplode(F.arrays_zip("a", "b", "n")).alias("place", "x")).select("block", "place", "x.*")
-    pairs = each.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = common.materialise(pairs, "pairs")
-    most = lambda side: pairs.groupBy(side).agg(F.max("n").alias(f"most_{side}"))
-    pairs = common.materialise(pairs.join(most("a"), "a").join(most("b"), "b"), "counted-pairs")
-    found = each.drop("n").join(pairs, ["a", "b"])
-    # a block has as many pairs as its characters allow
-    listed = F.array_sort(F.collect_list(F.struct("place", "n", (F.col("n") == F.col("most_a")).cast("int").alias("best_a"), (F.col("n") == F.col("most_b")).cast("int").alias("best_b"))))
-    found = found.groupBy("block").agg(listed.alias("x")).select("block", F.col("x.n").alias("counts"), F.col("x.best_a").alias("best_a"), F.col("x.best_b").alias("best_b"))
-    rows = blocks.drop("a", "b", "n").join(found, "block", "left")
-    out = rows.mapInPandas(summed, "id string, groups string, " + ", ".join(f"{x} long" for x in COUNTED))
-    kind = docs.schema["doc_id"].dataType
-    return out.select(F.col("id").cast(kind).alias("doc_id"), "groups", *COUNTED), pairs
+    return blocks.mapInPandas(run, _output(blocks))
+
+
+def _with_own_pairs(blocks: DataFrame, each: DataFrame) -> DataFrame:
+    """Joins to each block the counts of its own pairs, in their order: as many as its characters allow."""
+    listed = F.array_sort(F.collect_list(F.struct("place", "n", "most_a", "most_b")))
+    found = each.groupBy("block").agg(listed.alias("x")).select("block", *(F.col(f"x.{x}").alias(x) for x in ("n", "most_a", "most_b")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                yield _documents(r, *(np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (r.n, r.most_a, r.most_b)))
+
+    return blocks.join(found, "block", "left").mapInPandas(run, _output(blocks))

@@ -83,9 +83,9 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    found, _ = alignment.align(common.table(spark, sf_dir, "documents"), *paths)
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    found, _ = alignment.align(common.table(spark, sf_dir, "documents"), *paths, keep=digest)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 def with_periods(doc_id: int | None, words: list[bytes]) -> list[bytes]:
