@@ -234,54 +234,84 @@ def _may_match(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.n
     return ((p + q) * possible >= p * (size + size_)) & (q * size_ >= p * size) & (q * size >= p * size_)
 
 
-def _to_few(h: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, component: np.ndarray, least: tuple[int, int], next_: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bucket (members come by size) each member with the first whose size allows the similarity and with the next few."""
-    own = np.arange(len(h))
-    pivot, i = np.zeros(len(h), np.int64), 0
-    while i < len(h):
-        j = i + int(np.searchsorted(size[i:], size[i] * least[1] // least[0], "right"))
-        pivot[i:j] = i
-        i = j
-    one = np.concatenate([pivot, *(own[:-k] for k in range(1, next_ + 1))])
-    two = np.concatenate([own, *(own[k:] for k in range(1, next_ + 1))])
-    ok = (one != two) & _may_match((size[one], at[one]), (size[two], at[two]), least)
-    return node[one[ok]], node[two[ok]]
-
-
-def _across(h: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, component: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a bucket's members that are in different components and may have the similarity."""
-    if (component == component[0]).all():
-        return node[:0], node[:0]
-    to = np.searchsorted(size, size * least[1] // least[0], "right")
-    left, right = [], []
-    for i in range(len(h) - 1):
-        rest = slice(i + 1, to[i])
-        ok = (component[rest] != component[i]) & _may_match((size[i], at[i]), (size[rest], at[rest]), least)
-        if ok.any():
-            right.append(node[rest][ok])
-            left.append(np.full(len(right[-1]), node[i]))
-    return (np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
-
-
-def _paired(batches: Iterator[pa.RecordBatch], pairs: Callable, least: tuple[int, int], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """(a, b) that `pairs` makes of each bucket of members with one hash; rows come sorted by hash, size and node."""
+class Bucket:
+    """The documents of one block of a shingle's bucket, by size: of one part, or of two parts that meet."""
+
+    def __init__(self, part: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, component: np.ndarray, parities: np.ndarray | None):
+        self.part, self.size, self.at, self.node, self.component, self.parities = part, size, at, node, component, parities
+        self.both = (part != part[0]).any()
+
+    def few(self, least: tuple[int, int], next_: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Each member with the first whose size allows the similarity and with the next few."""
+        own = np.arange(len(self.node))
+        pivot, i = np.zeros(len(own), np.int64), 0
+        while i < len(own):
+            j = i + int(np.searchsorted(self.size[i:], self.size[i] * least[1] // least[0], "right"))
+            pivot[i:j] = i
+            i = j
+        one = np.concatenate([pivot, *(own[:-k] for k in range(1, next_ + 1))])
+        two = np.concatenate([own, *(own[k:] for k in range(1, next_ + 1))])
+        ok = (one != two) & _may_match((self.size[one], self.at[one]), (self.size[two], self.at[two]), least)
+        return self.node[one[ok]], self.node[two[ok]]
+
+    def across(self, least: tuple[int, int], most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different components that may have the similarity, by size, place and parities: for each member all, or the `most` with the fewest differing parities."""
+        none = self.node[:0], self.node[:0]
+        if (self.component == self.component[0]).all() or not self.both and len(self.node) < 2:
+            return none
+        p, q = least
+        to = np.searchsorted(self.size, self.size * q // p, "right")
+        left, right = [], []
+        for i in range(len(self.node) - 1):
+            j = np.arange(i + 1, to[i])
+            ok = self.component[j] != self.component[i]
+            if self.both:
+                ok &= self.part[j] != self.part[i]
+            j = j[ok]
+            j = j[_may_match((self.size[i], self.at[i]), (self.size[j], self.at[j]), least)]
+            if not len(j):
+                continue
+            # sets of such a similarity differ in at most (1 - least) / (1 + least) of their members, so in no more parities
+            differ = np.bitwise_count(self.parities[j] ^ self.parities[i]).sum(axis=1, dtype=np.int64)
+            near = (p + q) * differ <= (q - p) * (self.size[i] + self.size[j])
+            j, differ = j[near], differ[near]
+            if most and len(j) > most:
+                j = j[np.argsort(differ, kind="stable")[:most]]
+            if len(j):
+                right.append(self.node[j])
+                left.append(np.full(len(j), self.node[i]))
+        return (np.concatenate(left), np.concatenate(right)) if left else none
+
+
+#: Columns of a member of a bucket's block before its parities.
+MEMBER = ("h", "low", "high", "part", "size", "at", "node", "component")
+
+
+def _paired(batches: Iterator[pa.RecordBatch], pairs: Callable[[Bucket], tuple[np.ndarray, np.ndarray]], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """(a, b) that `pairs` makes of each block of members; rows come sorted by h, low, high, size and node."""
     held: list[np.ndarray] = []
-    many = 0
+    many, wide = 0, len(MEMBER)
 
     def out(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.empty(0, np.int64)
+        start = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]) if rows.shape[1] else np.empty(0, np.int64)
         end = np.r_[start[1:], rows.shape[1]]
         for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-            yield pairs(*rows[:, s:e], least)
+            parities = np.ascontiguousarray(rows[wide:, s:e].T).view(np.uint64) if len(rows) > wide else None  # bits of signed numbers aren't counted right
+            yield pairs(Bucket(*rows[3:wide, s:e], parities))
 
     def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = np.empty((5, 0), np.int64)
+        left = None
         for b in batches:
-            rows = np.concatenate([left, np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], np.int64)], axis=1)
-            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0  # the last bucket may go on
+            rows = np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(wide)], np.int64)
+            if b.num_columns > wide:
+                rows = np.concatenate([rows, np.asarray(b.column(wide).flatten(), np.int64).reshape(b.num_rows, -1).T])
+            rows = rows if left is None else np.concatenate([left, rows], axis=1)
+            same = (rows[:3] == rows[:3, -1:]).all(axis=0) if rows.shape[1] else np.empty(0, bool)
+            cut = int(np.argmax(same)) if same.size else 0  # the last block may go on
             yield from out(rows[:, :cut])
-            left = rows[:, cut:]
-        yield from out(left)
+            left = rows[:, cut:].copy()
+        if left is not None:
+            yield from out(left)
 
     def batch() -> pa.RecordBatch:
         a, b = np.unique(np.concatenate(held, axis=1), axis=1)
@@ -343,31 +373,38 @@ def marked(docs: DataFrame, words: int, overlap: int, least: tuple[int, int], kn
     return docs.select("doc_id", "text", "digest").mapInArrow(run, schema)
 
 
-def overlap_links(docs: DataFrame, rows: DataFrame, overlap: int, least: tuple[int, int]) -> DataFrame:
-    """(u, v): fingerprints that join all documents whose sets of `overlap`-word shingles have a Jaccard similarity of `least` or more.
+#: A bucket of one shingle with more members is dealt into parts, any two of which meet in one block.
+PART = 4096
+
+
+def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int = 5, least: tuple[int, int] = (4, 5), known: int = 100_000, part: int = PART) -> DataFrame:
+    """A row per document: doc_id, digest (SHA-256 of the text, hex) and component, a number for each group of similar texts.
 
-    docs: (text, digest); rows: marked() of them. No radius of fingerprints finds all of these, so candidates come from
-    prefixes: with shingles in one order for all, two such sets share one among the first n - ceil(least * n) + 1 of either,
-    and what is left of both orders from there must be long enough; parities of the sets' slots rule out most others. Common shingles come last in the order, so few documents
-    meet; the order decides only how many candidates there are. Each candidate is then verified by the shingles themselves.
+    Two texts link when their sets of `overlap`-word shingles have a Jaccard similarity of `least` (a fraction, at least 1 / 2)
+    or more; no words at all are similar to no words. Every link is verified by the shingles themselves. Candidates are, in
+    rounds, each of which pairs only what earlier links have not joined, so that a group of copies isn't expanded:
 
-    Candidates come in two rounds, so that a group of near copies isn't expanded into all its pairs: the first pairs each
-    member of a bucket with five of it at most; the second pairs all that the first's links have not joined, and loses none.
+    1. texts whose SimHash fingerprints of `words` words are equal or differ in up to `radius` bits (links());
+    2. each text with five others at most that share a rare shingle with it;
+    3. with the three whose shingles' parities differ least, of each such bucket;
+    4. all that is left. Nothing is lost: with shingles in one order for all, two such sets share one among the first
+       n - ceil(least * n) + 1 of either, what is left of both orders from there must be long enough, and the parities of 1,024
+       slots of their shingles can't differ in more than the sets.
+
+    Common shingles come last in the order, so few texts meet; `known` tells of how many slots of shingles the frequency is
+    kept; both decide only how many candidates there are. Buckets of over `part` texts are cut into blocks.
+
+    Null text counts as empty; very long texts are read whole; an empty table gives none; rows that repeat a doc_id, or have
+    none, are judged by their texts; other columns are ignored.
     """
-    nodes = common.materialise(rows.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    raw = raw.select("doc_id", F.col("text").cast("binary").alias("text"), F.sha2("text", 256).alias("digest"))
+    rows = common.materialise(marked(raw, words, overlap, least, known), "marks")
+    nodes = common.materialise(rows.drop("doc_id").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.select("node", "size", F.posexplode("firsts").alias("at", "h"))
-    met = placed.groupBy("h").count().where("count > 1").select("h")
-    placed = common.materialise(placed.join(met, "h").select("h", "size", F.col("at").cast("long").alias("at"), "node"), "prefixes")
-
-    def candidates(pairs: Callable, component: DataFrame | None) -> DataFrame:
-        found = placed.withColumn("component", F.col("node")) if component is None else placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = found.select("h", "size", "at", "node", "component").repartition("h").sortWithinPartitions("h", "size", "node")
-        found = found.mapInArrow(lambda x: _paired(x, pairs, least), "a long, b long").distinct()
-        # sets of such a similarity differ in at most (1 - least) / (1 + least) of their members, so in no more parities
-        side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("parities").alias(f"parities_{k}"))
-        differ = "aggregate(zip_with(parities_a, parities_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-        p, q = least
-        return found.join(side("a"), "a").join(side("b"), "b").where(f"{p + q} * {differ} <= {q - p} * (size_a + size_b)").select("a", "b")
+    met = placed.groupBy("h").count().where("count > 1").select("h", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    placed = placed.join(met, "h").select("h", "parts", "size", F.col("at").cast("long").alias("at"), "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    placed = common.materialise(placed, "prefixes")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.sliced(batches):
@@ -379,45 +416,58 @@ def overlap_links(docs: DataFrame, rows: DataFrame, overlap: int, least: tuple[i
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def close(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = common.materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-        texts = common.materialise(docs.join(needed, "digest").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts")
+        texts = common.materialise(raw.join(needed, "digest").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts")
         side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
         return common.materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long"), label)
 
-    first = common.materialise(candidates(_to_few, None), "first-pairs")
-    links = close(first, "first-links")
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    second = common.materialise(candidates(_across, joined).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    links = links.union(close(second, "second-links"))
-    fp = lambda k, name: nodes.select(F.col("node").alias(k), F.col("fp").alias(name))
-    return links.join(fp("a", "u"), "a").join(fp("b", "v"), "b").where("u <> v").select("u", "v").distinct()
+    def of(links: DataFrame) -> DataFrame:
+        return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def members(component: DataFrame) -> DataFrame:
+        """Rows of the buckets that still hold several components."""
+        now = placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = now.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
+        return now.join(mixed, "h")
+
+    def met_in_blocks(rows: DataFrame, pairs: Callable[[Bucket], tuple[np.ndarray, np.ndarray]], *more: str) -> DataFrame:
+        rows = rows.select(*MEMBER, *more).repartition("h", "low", "high").sortWithinPartitions("h", "low", "high", "size", "node")
+        return rows.mapInArrow(lambda x: _paired(x, pairs), "a long, b long")
+
+    def in_parts(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("low", F.col("part")).withColumn("high", F.col("part"))
+
+    def crossing(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(nodes.select("node", "parities"), "node")
+        return rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+
+    same = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    fp = lambda k, name: same.select(F.col("fp").alias(k), F.col("first").alias(name))
+    by_bits = links(same.select("fp"), radius).join(fp("u", "a"), "u").join(fp("v", "b"), "v").select("a", "b")
+    found = close(nodes.join(same, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).union(by_bits), "by-bits")
+    found = found.union(close(met_in_blocks(in_parts(members(of(found))), lambda x: x.few(least)), "few"))
+    found = found.union(close(met_in_blocks(crossing(members(of(found))), lambda x: x.across(least, 3), "parities"), "nearest"))
+    found = found.union(close(met_in_blocks(crossing(members(of(found))), lambda x: x.across(least), "parities"), "rest"))
+    joined = of(found)
+    labels = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "digest").join(labels, "digest")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, most: int = MOST, overlap: int = 0, least: tuple[int, int] = (4, 5), known: int = 100_000) -> DataFrame:
-    """A row per document: doc_id, fp (64 bits as long), component_id (the smallest doc_id reachable by links), and digest
-    (SHA-256 of the text, hex) and component (a number for each component) with `overlap`.
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, most: int = MOST) -> DataFrame:
+    """A row per document: doc_id, fp (64 bits as long) and component_id (the smallest doc_id reachable by links).
 
     Documents link when their fingerprints differ in `radius` bits at most; equal fingerprints are taken as one before any
-    comparison. With `overlap`, documents link also when their sets of so many words' shingles have a Jaccard similarity of
-    `least` (a fraction) or more, whatever their fingerprints (texts without words have none with any). `known`: of how many
-    slots of shingles the frequency is kept, which orders candidates and changes no link.
+    comparison.
 
     Null, empty and blank texts have fingerprint 0 and link like any other; very long texts are read whole; an empty table
     gives none; rows that repeat a doc_id are kept, each by its own text; a null doc_id takes part but never names a component
     (one of nulls only has a null id); other columns are ignored.
     """
-    if overlap:
-        raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        raw = raw.select("doc_id", F.col("text").cast("binary").alias("text"), F.sha2("text", 256).alias("digest"))
-        rows = common.materialise(marked(raw, words, overlap, least, known), "marks")
-    else:
-        rows = common.materialise(fingerprint(docs, words), "fingerprints")
+    rows = common.materialise(fingerprint(docs, words), "fingerprints")
     classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    linked = links(classes.select("fp"), radius, most)
-    if overlap:
-        linked = linked.union(overlap_links(raw, rows, overlap, least)).distinct()
-    joined = components(linked).withColumnRenamed("node", "fp")
+    joined = components(links(classes.select("fp"), radius, most)).withColumnRenamed("node", "fp")
     classes = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lowest, "component").select("fp", "component_id", "component")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *(["digest", "component"] if overlap else []))
+    classes = classes.join(lowest, "component").select("fp", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")

@@ -5,7 +5,7 @@ import os
 import corpus_pipeline
 from attestor.llm import toxicity
 
-from .test_duplicates import brute_fingerprint
+from .test_overlap import shingles
 
 
 def test_pipeline(spark, hard_rows, tmp_path):
@@ -30,8 +30,8 @@ def test_pipeline(spark, hard_rows, tmp_path):
             texts = [t or "" for _, t in rows]
             assert len(texts) == len(set(texts)) and set(texts) == {r.text or "" for r in before.collect()}
         if name == "simhash_dedup":
-            fps = [brute_fingerprint(t) for d, t in rows if d is not None]
-            assert all((a ^ b).bit_count() > 2 for i, a in enumerate(fps) for b in fps[:i])
+            sets = [shingles(t) for _, t in rows]
+            assert all(5 * len(a & b) < 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     assert sizes[0] > sizes[1] >= sizes[2] == sizes[3] == sizes[4]
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
     assert os.path.exists(f"{sf}/4")
