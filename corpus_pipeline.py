@@ -40,12 +40,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; a five-word similarity of 0.8 links as well.
+    """Of each group of linked documents the one with the smallest doc_id; a five-word similarity of 0.8 or more links, nothing else.
 
     A null doc_id is larger than any other; of rows with one doc_id that with the least digest of its text stays, of rows that
     repeat both one. Texts without words are one group; an empty table stays empty. All columns are kept as they are.
     """
-    found = simhash.near_duplicates(docs, overlap=5, least=(4, 5))
+    found = simhash.similar_texts(docs, words=3, radius=2, overlap=5, least=(4, 5))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("first"))
     return _one_of_each(docs, first.select("first.doc_id", "first.digest"))
 
