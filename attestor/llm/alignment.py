@@ -10,12 +10,12 @@ and joins the counts back to the blocks.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +29,20 @@ KEPT_CHARS = 64
 Merged = tuple[int, int, int, str, list[int]]  # tokens of A, of B, groups, the groups as text, links (A's id << 32 | B's)
 
 
-def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Groups, as how many tokens of either side end with them, and links, as places of both sides; both lists end at one byte."""
-    groups, links, i, j = [], [], 0, 0
-    while i < len(ends_a):
-        links.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            groups.append((i, j))
-    return groups, links
+def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of both pointers at each step, which are the links, and how many tokens of either side end with each group.
+
+    Two pointers walk the ascending ends of both sides, that with the smaller end (or both) going on. All steps are made at once:
+    the ends are merged (a stable sort of two runs only merges), and running counts of either side's are the pointers' places.
+    """
+    ends = np.concatenate([ends_a, ends_b])
+    order = np.argsort(ends, kind="stable")
+    ends, of_a = ends[order], order < len(ends_a)
+    step = np.flatnonzero(np.r_[ends[1:] != ends[:-1], True]) if len(ends) else np.empty(0, np.int64)
+    i, j = np.cumsum(of_a)[step], np.cumsum(~of_a)[step]
+    from_i, from_j = np.r_[0, i][:-1], np.r_[0, j][:-1]
+    both = (i > from_i) & (j > from_j)
+    return from_i, from_j, i[both], j[both]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -59,11 +62,15 @@ class Tokenizers:
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         letters = _byte_letters()
-        self.bytes_a = {k: bytes(letters[c] for c in x) for x, k in self.a.get_vocab().items() if all(c in letters for c in x)}
+        entries = {k: bytes(letters.get(c, 0) for c in x) for x, k in self.a.get_vocab().items()}
+        self.bytes_a = [entries.get(k, b"") for k in range(max(entries) + 1)]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
+        self.length_a, self.length_b = (np.array([*map(len, x)]) for x in (self.bytes_a, self.bytes_b))
+        many = max(len(self.bytes_a), len(self.bytes_b))
+        self.names = np.array([[f"{k}{mark}" for k in range(many)] for mark in (",", "|", ";", "")], object)
         self.local = self._ends_before_spaces(pieces)
-        self.cut = regex.compile(SEGMENT).findall if self.local else lambda text: [text]
+        self.cut = re.compile(SEGMENT).findall if self.local else lambda text: [text]
         self.known: dict[str, Merged | None] = {}
         self.older: dict[str, Merged | None] = {}
         self.most = cache // 2
@@ -99,29 +106,34 @@ class Tokenizers:
                 self._encode([s], out)
             return
         text = "".join(segments)
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-        parts_a, parts_b = [self.bytes_a.get(k, b"") for k in a], [self.bytes_b[k] for k in b]
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
         raw = text.encode()
-        if b"".join(parts_a) == raw and b"".join(parts_b) == raw:
-            self._merge(segments, a, b, [*accumulate(map(len, parts_a))], [*accumulate(map(len, parts_b))], out)
+        if b"".join([self.bytes_a[k] for k in a]) == raw and b"".join([self.bytes_b[k] for k in b]) == raw:
+            self._merge(segments, np.array(a, np.int64), np.array(b, np.int64), out)
         elif len(segments) == 1:
             out[segments[0]] = None
         else:
             self._encode(segments[: len(segments) // 2], out)
             self._encode(segments[len(segments) // 2 :], out)
 
-    def _merge(self, segments: list[str], a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], out: dict[str, Merged | None]) -> None:
-        groups, links = merge(ends_a, ends_b)
-        names_a, names_b = [*map(str, a)], [*map(str, b)]
-        texts = [f"{','.join(names_a[i:i_])}|{','.join(names_b[j:j_])}" for (i, j), (i_, j_) in zip([(0, 0), *groups], groups, strict=False)]
-        at_a, at_b = np.array(links).T
-        pairs = (np.array(a, np.int64)[at_a] << 32 | np.array(b, np.int64)[at_b]).tolist()
+    def _merge(self, segments: list[str], a: np.ndarray, b: np.ndarray, out: dict[str, Merged | None]) -> None:
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        at_a, at_b, group_a, group_b = merge(ends_a, ends_b)
+        pairs = (a[at_a] << 32 | b[at_b]).tolist()
         ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in segments])
-        first = lambda x: [0, *np.searchsorted(x, ends, "right").tolist()]
-        i, j, g = first(ends_a), first(ends_b), first(np.array(ends_a)[[x - 1 for x, _ in groups]])
+        i, j, g = (np.r_[0, np.searchsorted(x, ends, "right")] for x in (ends_a, ends_b, ends_a[group_a - 1]))
         k = [0, *np.searchsorted(at_a, i[1:]).tolist()]
-        for n, s in enumerate(segments):
-            out[s] = i[n + 1] - i[n], j[n + 1] - j[n], g[n + 1] - g[n], ";".join(texts[g[n] : g[n + 1]]), pairs[k[n] : k[n + 1]]
+        # as text: a group's tokens of A, then those of B; what follows a token tells whether it is its side's last, its group's, its segment's
+        after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        after_a[group_a - 1], after_b[group_b - 1], after_b[j[1:] - 1] = 1, 2, 3
+        place_a = np.arange(len(a)) + np.r_[0, group_b][np.searchsorted(group_a, np.arange(len(a)), "right")]
+        place_b = np.arange(len(b)) + group_a[np.searchsorted(group_b, np.arange(len(b)), "right")]
+        names = np.empty(len(a) + len(b), object)
+        names[place_a], names[place_b] = self.names[after_a, a], self.names[after_b, b]
+        names, first = names.tolist(), (i + j).tolist()
+        counts = zip(np.diff(i).tolist(), np.diff(j).tolist(), np.diff(g).tolist(), strict=True)
+        for n, (s, (n_a, n_b, n_groups)) in enumerate(zip(segments, counts, strict=True)):
+            out[s] = n_a, n_b, n_groups, "".join(names[first[n] : first[n + 1]]), pairs[k[n] : k[n + 1]]
 
 
 DOCUMENT = "id string, groups string, n_a long, n_b long, n_groups long, n_links long"

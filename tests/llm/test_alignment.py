@@ -1,8 +1,10 @@
 """Alignment of two tokenizers against whole texts, encoded and compared range by range."""
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -104,8 +106,26 @@ def test_segments_give_the_tokens_of_whole_texts(plain):
 
 
 def test_merge():
-    assert alignment.merge([2, 5, 6], [2, 3, 6]) == ([(1, 1), (3, 3)], [(0, 0), (1, 1), (1, 2), (2, 2)])
-    assert alignment.merge([], []) == ([], [])
+    def two_pointers(a, b):
+        links, groups, i, j = [], [], 0, 0
+        while i < len(a):
+            links.append((i, j))
+            x, y = a[i], b[j]
+            i, j = i + (x <= y), j + (y <= x)
+            if x == y:
+                groups.append((i, j))
+        return links, groups
+
+    def merged(a, b):
+        x, y, i, j = (v.tolist() for v in alignment.merge(np.array(a, np.int64), np.array(b, np.int64)))
+        return [*zip(x, y, strict=True)], [*zip(i, j, strict=True)]
+
+    assert merged([2, 5, 6], [2, 3, 6]) == ([(0, 0), (1, 1), (1, 2), (2, 2)], [(1, 1), (3, 3)])
+    r = random.Random(0)
+    for _ in range(300):
+        n = r.randint(0, 20)
+        a, b = (sorted({*r.sample(range(1, n + 1), r.randint(0, n)), n} - {0}) for _ in range(2))
+        assert merged(a, b) == two_pointers(a, b)
 
 
 def test_hard_rows(spark, hard, hard_rows, empty, plain):
