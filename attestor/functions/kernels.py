@@ -132,8 +132,18 @@ def distance_to(mask: np.ndarray) -> np.ndarray:
     return np.sqrt((column[:, None, :] + xs[None]).min(axis=2))
 
 
+def lanczos_weights(n: int, m: int) -> np.ndarray:
+    """The matrix that resizes n values to m by a windowed sinc of three lobes, widened where values get fewer."""
+    scale = n / m
+    at = (np.arange(n)[None] + 0.5 - (np.arange(m)[:, None] + 0.5) * scale) / max(1.0, scale)
+    w = np.where(np.abs(at) < 3, np.sinc(at) * np.sinc(at / 3), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
 def resize(a: np.ndarray, height: int, width: int, mode: str = "bilinear") -> np.ndarray:
     h, w = a.shape[:2]
+    if mode == "lanczos":
+        return np.moveaxis(np.tensordot(np.tensordot(lanczos_weights(h, height), np.asarray(a, np.float64), (1, 0)), lanczos_weights(w, width), (1, 1)), -1, 1)
     if mode == "nearest":
         return a[np.minimum((np.arange(height) * h) // height, h - 1)][:, np.minimum((np.arange(width) * w) // width, w - 1)]
     if mode == "area":
@@ -574,14 +584,18 @@ def modulated(image: np.ndarray, strength: float = 0.25, low: float = 0.35, high
 # likeness
 
 
+def structural_similarity(x: np.ndarray, y: np.ndarray, blur) -> np.ndarray:
+    """Mean over the last two axes, of levels 0 to 255; `blur` gives weighted means around each place."""
+    mx, my = blur(x), blur(y)
+    vx, vy, cov = blur(x * x) - mx**2, blur(y * y) - my**2, blur(x * y) - mx * my
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return (((2 * mx * my + c1) * (2 * cov + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean(axis=(-2, -1))
+
+
 def ssim(a: np.ndarray, b: np.ndarray, side: int = 256) -> float:
     """Of luminance at side x side, Gaussian window of 11, sigma 1.5."""
-    x, y = (resize(luminance(i), side, side) for i in (a, b))
-    g = lambda z: gaussian(z, 1.5, 5)
-    mx, my = g(x), g(y)
-    vx, vy, cov = g(x * x) - mx**2, g(y * y) - my**2, g(x * y) - mx * my
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * mx * my + c1) * (2 * cov + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+    x, y = (resize(luminance(i), side, side, "lanczos") for i in (a, b))
+    return float(structural_similarity(x, y, lambda z: gaussian(z, 1.5, 5)))
 
 
 def dct_matrix(n: int) -> np.ndarray:
@@ -593,7 +607,7 @@ def dct_matrix(n: int) -> np.ndarray:
 
 def phash(image: np.ndarray, with_mean: bool = False) -> int:
     """Signs of the low 8 x 8 frequencies against their median without the mean: 63 bits, or 64 with the mean's."""
-    g = resize(luminance(image), 32, 32)
+    g = resize(luminance(image), 32, 32, "lanczos")
     d = dct_matrix(32)
     low = (d @ g @ d.T)[:8, :8].ravel()
     bits = low > np.median(low[1:])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import digests, scalars
-from attestor.operators import gates, graphs, ranking, resampling, similarity, splits
+from attestor.operators import gates, graphs, ranking, resampling, splits
 
 from .base import portable, query, table
 
@@ -42,22 +42,6 @@ def leakage_audit_groups(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("splits").agg(F.count("*").alias("groups_found"), F.sum("n").alias("rows_found"))
 
 
-SIGN = """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-h AS (SELECT vec_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(v[{a}:{b}], lambda x: CASE WHEN x > list_aggregate(v, 'median') THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda p, x: p * 2 + x) AS code FROM m)
-"""
-
-
-@query(SIGN.format(a=2, b=64) + "SELECT vec_id, code FROM h")
-def phash63(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 1, 63).alias("code"))
-
-
-@query(SIGN.format(a=2, b=64) + """SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id AND bit_count(xor(x.code, y.code)) <= 4""")
-def near_dup_banded(spark: SparkSession, sf: str) -> DataFrame:
-    codes = table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 1, 63).alias("code"))
-    return similarity.near_pairs(codes, "vec_id", "code", 63, 4)
-
-
 portable("composite_lookup", """
 SELECT e.event_id, m.n AS matched, round(e.value - m.mean, 6) AS delta
 FROM events e JOIN (SELECT user_id, event_type, count(*) AS n, avg(value) AS mean FROM events GROUP BY user_id, event_type) m ON e.user_id = m.user_id AND e.event_type = m.event_type
@@ -514,38 +498,3 @@ def receipt_validity(spark: SparkSession, sf: str) -> DataFrame:
     ok = (c("r.schema_version") == "job_receipt.v1") & digests.is_sha256(c("r.config_sha256")) & scalars.is_finite(m["dice"]) & m["dice"].between(0.0, 1.0) & scalars.is_finite(m["hd95"]) & (m["hd95"] >= 0.0)
     return r.select("o_orderkey", F.coalesce(ok, F.lit(False)).alias("valid"))
 
-
-@query(SIGN.format(a=2, b=64) + """, s AS (SELECT vec_id, code, embedding, sha256(array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1099511627776) AS BIGINT)), ',')) AS h, CAST(('0x' || substr(sha256('1729::' || vec_id), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE < 0.7 AS train FROM h JOIN embeddings USING (vec_id))
-SELECT (SELECT count(*) FROM s WHERE train) AS train_rows, (SELECT count(*) FROM s WHERE NOT train) AS validation_rows,
- (SELECT count(*) FROM (SELECT embedding FROM s WHERE train INTERSECT SELECT embedding FROM s WHERE NOT train) x) AS exact_leaks,
- (SELECT count(*) FROM s a JOIN s b ON a.train AND NOT b.train AND a.embedding <> b.embedding AND bit_count(xor(a.code, b.code)) <= 4) AS near_leaks,
- (SELECT sha256(string_agg(lpad(CAST(vec_id AS VARCHAR), 12, '0') || '|' || h || chr(10), '' ORDER BY vec_id)) FROM s WHERE NOT train) AS validation_digest
-""")
-def leakage_report(spark: SparkSession, sf: str) -> DataFrame:
-    """One row: sizes, exact (equal content) and near duplicates (63-bit hashes within 4, other content) across a split, and the ordered digest of the sealed side's identities."""
-    digest = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))), 256)
-    levels = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: F.floor(x.cast("double") * 2.0**40).cast("string"))), 256)
-    e = table(spark, sf, "embeddings").select("vec_id", similarity.sign_hash(c("embedding"), 1, 63).alias("code"), digest.alias("digest"), levels.alias("levels"), (digests.stable_fraction(1729, c("vec_id")) < 0.7).alias("train"))
-    sizes = e.agg(F.count_if("train").alias("train_rows"), F.count_if(~c("train")).alias("validation_rows"))
-    exact = e.groupBy("digest").agg(F.bool_or("train").alias("a"), F.bool_or(~c("train")).alias("b")).where("a and b").agg(F.count("*").alias("exact_leaks"))
-    side = lambda k: e.select(c("vec_id").alias(k), c("train").alias(f"t{k}"), c("digest").alias(f"d{k}"))
-    pairs = similarity.near_pairs(e, "vec_id", "code", 63, 4).join(side("a"), "a").join(side("b"), "b")
-    near = pairs.where("ta <> tb and da <> db").agg(F.count("*").alias("near_leaks"))
-    line = F.concat(F.lpad(c("vec_id").cast("string"), 12, "0"), F.lit("|"), c("levels"), F.lit("\n"))
-    sealed = e.where(~c("train")).agg(digests.ordered_digest(line).alias("validation_digest"))
-    return sizes.join(exact, F.lit(True)).join(near, F.lit(True)).join(sealed, F.lit(True))  # one row each
-
-
-@query()
-def refined_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Filter and refine: candidates of the banded join, then the structural similarity of their rasters in Python."""
-    import numpy as np
-
-    from attestor.functions import kernels
-    from attestor.operators.rasters import byte_levels, measure
-
-    e = table(spark, sf, "embeddings").select("vec_id", byte_levels(c("embedding")).alias("g"), similarity.sign_hash(c("embedding"), 1, 63).alias("code"))
-    pairs = similarity.near_pairs(e, "vec_id", "code", 63, 4)
-    side = lambda k: e.select(c("vec_id").alias(k), c("g").alias(f"g{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.concat_ws("-", "a", "b").alias("pair"), F.concat("ga", "gb").alias("g"))
-    return measure(both, "pair", "g", 2, 64, lambda x: {"ssim": kernels.ssim(np.asarray(x[0]).reshape(8, 8), np.asarray(x[1]).reshape(8, 8), 64)}, "ssim double")
