@@ -247,21 +247,27 @@ def private_path(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", (html.rlike("/(home|root|mnt|users|Users)/[A-Za-z0-9_.-]+") | html.rlike("https?://[^ ]*ngrok")).alias("private"))
 
 
-@query("""
-WITH p AS (SELECT doc_id, lower(CASE doc_id % 8 WHEN 0 THEN 'Runs/a' || doc_id || '.txt' WHEN 1 THEN 'src/m.PTH' WHEN 2 THEN 'docs/x.tar.gz' WHEN 3 THEN 'out/run.log' WHEN 4 THEN 'a/raw_receipt.json' WHEN 5 THEN '.pytest_cache/x' WHEN 6 THEN 'x/.dg-1/uploads/disk.vhdx' ELSE 'src/ok.py' END) AS path FROM documents)
-SELECT doc_id, 'forbidden path segment' AS finding FROM p WHERE list_has_any(string_split(path, '/'), ["""
-    + ", ".join(f"'{x}'" for x in findings.FORBIDDEN)
-    + f"""])
-UNION ALL SELECT doc_id, 'model weight' FROM p WHERE regexp_matches(path, '\\.({findings.WEIGHTS})(\\.|$)')
-UNION ALL SELECT doc_id, 'binary archive' FROM p WHERE regexp_matches(path, '\\.({findings.ARCHIVES})(\\.|$)')
-UNION ALL SELECT doc_id, 'runtime log' FROM p WHERE path LIKE '%.log'
-UNION ALL SELECT doc_id, 'raw receipt' FROM p WHERE path LIKE '%raw_receipt%'
-UNION ALL SELECT doc_id, 'scratch path' FROM p WHERE len(list_filter(string_split(path, '/'), lambda x: regexp_matches(x, '{findings.SCRATCH}'))) > 0
+#: Path forms that documents are given by their id.
+PATHS = ["concat('Runs/a', doc_id, '.txt')", "'src/m.PTH'", "'docs/x.tar.gz'", "'out/run.log'", "'a/raw_receipt.json'", "'.pytest_cache/x'", "'x/.dg-1/uploads/disk.vhdx'", "'src/ok.py'", "'a/x.bz2'",
+         "'Demo/Data/r_evidence_registry.json'", "'demo/data/other.json'", "'bin/cloudflared-linux'", "'docs/job-receipts.v2.md'", "'src/.pt'", "'notes/run.log.txt'", "'a\\\\tmp\\\\b.Onnx.md'"]
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, lower(replace(CASE doc_id % {len(PATHS)} {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(PATHS))} END, '\\', '/')) AS path FROM documents),
+q AS (SELECT doc_id, path, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM p),
+r AS (SELECT *, list_transform(string_split(ltrim(name, '.'), '.')[2:], lambda x: '.' || x) AS suffixes FROM q)
+SELECT doc_id, 'forbidden path segment' AS finding FROM r
+WHERE list_has_any(parts, ['.artifacts', 'checkpoints', 'demo_runtime', 'logs', 'masks', 'raw_receipt', 'raw_receipts', 'receipts', 'runs', 'tmp', 'uploads', 'weights'])
+  OR list_contains(parts, 'data') AND NOT (path LIKE 'demo/data/%' AND path LIKE '%evidence\\_registry.json' ESCAPE '\\')
+UNION ALL SELECT doc_id, 'model weight' FROM r WHERE list_has_any(suffixes, ['.ckpt', '.engine', '.mmap', '.onnx', '.pt', '.pth', '.safetensors'])
+UNION ALL SELECT doc_id, 'binary archive' FROM r WHERE list_has_any(suffixes, ['.7z', '.bz2', '.docker', '.img', '.ova', '.rar', '.tar', '.tgz', '.vhd', '.vhdx', '.xz', '.zip'])
+UNION ALL SELECT doc_id, 'runtime log' FROM r WHERE suffixes[-1] = '.log' OR name LIKE 'cloudflared%'
+UNION ALL SELECT doc_id, 'raw receipt' FROM r WHERE contains(path, 'raw_receipt') OR regexp_matches(name, '(^|[._-])(raw[._-]?)?receipts?($|[._-])')
+UNION ALL SELECT doc_id, 'scratch path' FROM r WHERE len(list_filter(parts, lambda x: regexp_matches(x, '^([.]dg-.+|[.]pt.*|[.]pytest([-_].*)?|[.]task.*|[.]p7.*)$'))) > 0
 """)
 def path_findings(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = "CASE doc_id % 8 WHEN 0 THEN concat('Runs/a', doc_id, '.txt') WHEN 1 THEN 'src/m.PTH' WHEN 2 THEN 'docs/x.tar.gz' WHEN 3 THEN 'out/run.log' WHEN 4 THEN 'a/raw_receipt.json' WHEN 5 THEN '.pytest_cache/x' WHEN 6 THEN 'x/.dg-1/uploads/disk.vhdx' ELSE 'src/ok.py' END"
-    paths = table(spark, sf, "documents").select("doc_id", F.expr(kinds).alias("path"))
-    return paths.select("doc_id", F.explode(findings.path_findings(c("path"))).alias("finding"))
+    path = F.expr(f"CASE doc_id % {len(PATHS)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(PATHS))} END")
+    return table(spark, sf, "documents").select("doc_id", F.explode(findings.path_findings(path)).alias("finding"))
 
 
 @query(

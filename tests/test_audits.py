@@ -97,3 +97,27 @@ def test_yaml_and_parents(tmp_path):
     (tmp_path / "none.yaml").write_text("")
     assert config.load(tmp_path / "deep/er/run.yml", {"PLACE": "here"}) == {"a": {"x": 1, "y": 3}, "root": "here"}
     assert config.load(tmp_path / "none.yaml") == {}
+
+
+def test_path_findings_written_out(spark):
+    """What must not be public by its path, with every suffix listed here again."""
+    from attestor.operators import findings
+
+    want = {f"a/x{s}": ["binary archive"] for s in (".7z", ".bz2", ".docker", ".img", ".ova", ".rar", ".tar", ".tgz", ".vhd", ".vhdx", ".xz", ".zip", ".tar.gz", ".ZIP.old")}
+    want |= {f"a/x{s}": ["model weight"] for s in (".ckpt", ".engine", ".mmap", ".onnx", ".pt", ".pth", ".safetensors")}
+    want |= {"demo/data/a_evidence_registry.json": [], "other/data/a_evidence_registry.json": ["forbidden path segment"], "a/b.log": ["runtime log"], "a/b.log.txt": [], "cloudflared": ["runtime log"]}
+    want |= {"docs/receipt.md": ["raw receipt"], "docs/raw-receipts_2.md": ["raw receipt"], "docs/receiptbook.md": [], ".zip": [], "a\\TMP\\b": ["forbidden path segment"], ".pytest-x/b": ["scratch path"]}
+    want |= {".pt": ["scratch path"], "a/..tar": [], None: []}
+    df = spark.createDataFrame([(p,) for p in want], "path string")
+    got = {r.path: r.found for r in df.select("path", findings.path_findings(df.path).alias("found")).collect()}
+    assert got == want
+
+
+def test_content_findings_written_out(spark):
+    from attestor.operators import findings
+
+    want = {"see https://a-b.TryCloudflare.com/x": ["tunnel URL", "tunnel host"], "at x.ngrok.io.": ["tunnel host"], "ngrok is a tool": [], "in /home/me/x": ["private absolute path"], r"C:\Users\me": ["private absolute path"], "a/home/b": ["private absolute path"]}
+    want |= {"sk-" + "a1" * 10: ["secret-like material"], "-----BEGIN PRIVATE KEY-----": ["secret-like material"], "aws_secret_access_key = x": ["secret-like material"], "task-list": [], "é" * 60: ["oversized"], None: []}
+    df = spark.createDataFrame([(p,) for p in want], "text string")
+    got = {r.text: r.found for r in df.select("text", findings.content_findings(df.text, 100).alias("found")).collect()}
+    assert got == want
