@@ -280,3 +280,26 @@ _kernel_query("kernel_ssim", lambda i: {"ssim": k.ssim(i, i[:, ::-1], 64)}, "ssi
 _kernel_query("kernel_phash", lambda i: {"code": k.phash(i)}, "code long")
 _kernel_query("kernel_quality", lambda i: {"class": k.quality_class(i)}, "class string")
 _kernel_query("kernel_noise_sigma", lambda i: {"sigma": k.noise_sigma(k.luminance(i))}, "sigma double")
+
+
+@query(PX + "SELECT vec_id, 8 AS height, 8 AS width, CAST(sum(g) AS BIGINT) AS total, count(*) FILTER (WHERE g > 127) AS masked FROM px GROUP BY vec_id")
+def image_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Rasters as PNG files (grey or colours, 8 or 16 bits, each filter of rows), decoded again as grey levels and as masks; sizes from the headers."""
+    from attestor.sources import rasters
+
+    def encode(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made = []
+            for n, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                image = np.repeat(np.array(g, np.uint8).reshape(8, 8, 1), (1, 2, 3, 4)[n % 4], axis=2)
+                made.append(rasters.encode_png(image, n % 5 if n % 7 else None, 16 if n % 3 == 0 else 8))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["vec_id", "content"])
+
+    files = grids(spark, sf).mapInArrow(encode, "vec_id long, content binary")
+    both = rasters.decoded(files, "vec_id", form="grey").select("vec_id", c("pixels").alias("grey"))
+    both = both.join(rasters.decoded(files, "vec_id", form="mask").select("vec_id", c("pixels").alias("mask")), "vec_id").join(rasters.sizes(files, "vec_id"), "vec_id")
+    levels = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.conv(F.hex(F.substring(x, i, F.lit(1))), 16, 10).cast("long"))
+    total = lambda x: F.aggregate(levels(x), F.lit(0).cast("long"), lambda a, v: a + v)
+    return both.select("vec_id", "height", "width", total("grey").alias("total"), total("mask").alias("masked"))

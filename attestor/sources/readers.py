@@ -70,13 +70,6 @@ def selected_members(members: DataFrame, wanted: DataFrame) -> tuple[DataFrame,
     return found, known.where("n is null").select("name"), known.where("n > 1").select("name", "n")
 
 
-def packed(spark: SparkSession, path: str, directory: DataFrame, height: int, width: int) -> DataFrame:
-    """Rows of a flat byte cache [N, H, W] by the index in `directory`: key columns and `raster`."""
-    size = height * width
-    cache = spark.read.format("binaryFile").load(path).select("content")
-    return directory.join(F.broadcast(cache), F.lit(True)).withColumn("raster", F.expr(f"substring(content, index * {size} + 1, {size})")).drop("content")  # one file
-
-
 def tex_rows(spark: SparkSession, path: str, pattern: str, names: list[str]) -> DataFrame:
     """The groups of each match of a pattern in text files, as columns."""
     text = spark.read.text(path, wholetext=True)

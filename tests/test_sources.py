@@ -38,10 +38,6 @@ def test_files_archives_and_caches(spark, tmp_path):
     found, missing, twice = readers.selected_members(readers.zip_members(spark, str(tmp_path)), wanted)
     assert [bytes(r.content) for r in found.collect()] == [b"one"]
     assert [r.name for r in missing.collect()] == ["gone.txt"] and [r.name for r in twice.collect()] == ["both.txt"]
-    (tmp_path / "cache.bin").write_bytes(bytes(range(12)))
-    directory = spark.createDataFrame([("a", 0), ("b", 2)], "key string, index int")
-    got = {r.key: bytes(r.raster) for r in readers.packed(spark, str(tmp_path / "cache.bin"), directory, 2, 2).collect()}
-    assert got == {"a": bytes([0, 1, 2, 3]), "b": bytes([8, 9, 10, 11])}
 
 
 def test_json(spark, tmp_path):
