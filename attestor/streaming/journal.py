@@ -60,3 +60,20 @@ def guard_generations(requests: DataFrame, idle: str = "3600000") -> DataFrame:
         state.setTimeoutDuration(int(idle))
 
     return requests.groupBy("session").applyInPandasWithState(step, "session long, generation long, accepted boolean", "newest long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def followed_by(first: DataFrame, second: DataFrame, key: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """(key, first_id, second_id): events of two streams, or tables, with (id, key, ts), the second up to `within` after the first.
+
+    Both streams have watermarks and the times bound each other, so Spark forgets a row once no partner can come any more.
+    """
+    a, b = (x.withWatermark("ts", late) if x.isStreaming else x for x in (first, second))
+    a = a.select(F.col(key).alias("a_key"), F.col("id").alias("first_id"), F.col("ts").alias("a_ts"))
+    b = b.select(F.col(key).alias("b_key"), F.col("id").alias("second_id"), F.col("ts").alias("b_ts"))
+    pairs = a.join(b, F.expr(f"a_key = b_key and b_ts >= a_ts and b_ts <= a_ts + interval {within}"))
+    return pairs.select(F.col("a_key").alias(key), "first_id", "second_id")
+
+
+def dropped(query) -> int:
+    """How many rows a running or ended stream query has left out for being behind its watermark, as far as it reports back."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

@@ -2,7 +2,6 @@
 
 import hashlib
 import os.path
-import threading
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 from attestor.functions import config
 from attestor.operators import audits
 from attestor.sources import artifacts
-from attestor.streaming.guards import Sessions, SingleFlight
 
 
 def test_containment_is_that_of_normpath(spark):
@@ -53,42 +51,6 @@ def test_empty_arms_and_indexes(spark):
     assert {tuple(r) for r in rows} == {("count", "en", 0, 2), ("empty_fold", "0", 0, 1)}
 
 
-def test_sessions_age_and_make_room():
-    now = [0.0]
-    s = Sessions(most=2, ttl=100, active_ttl=10, clock=lambda: now[0])
-    a = s.begin("a")
-    assert s.begin("a") > a and not s.finish("a", a)  # stale
-    assert s.finish("a", a + 1)
-    b = s.begin("b")
-    s.begin("c")  # 'a' is idle and goes
-    assert len(s) == 2 and not s.finish("a", a + 1)
-    with pytest.raises(RuntimeError):
-        s.begin("d")
-    now[0] = 10.0  # those at work are forgotten sooner
-    assert not s.finish("b", b) and len(s) == 0
-    d = s.begin("d")
-    assert s.finish("d", d)
-    now[0] = 109.0
-    s.begin("e")
-    assert len(s) == 2
-    now[0] = 110.0
-    s.begin("f")
-    assert len(s) == 2  # 'd' is 100 seconds old
-
-
-def test_single_flight():
-    flight, started, go = SingleFlight(), threading.Event(), threading.Event()
-    out = []
-    t = threading.Thread(target=lambda: out.append(flight(lambda: (started.set(), go.wait(10), 7)[-1])))
-    t.start()
-    started.wait(10)
-    assert flight(lambda: 1) == (503, "busy")
-    go.set()
-    t.join()
-    assert out == [(200, 7)]
-    assert flight(lambda: 1 / 0) == (503, "inference_failed") and flight(lambda: 2) == (200, 2)
-
-
 def test_yaml_and_parents(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "base.yaml").write_text("a: {x: 1, y: 2}\nroot: ${PLACE}\n")
