@@ -3,7 +3,7 @@
 import os
 
 import corpus_pipeline
-from attestor.llm import toxicity
+from attestor.llm import mixing, toxicity
 
 from .test_overlap import shingles
 
@@ -32,6 +32,13 @@ def test_pipeline(spark, hard_rows, tmp_path):
         if name == "simhash_dedup":
             sets = [shingles(t) for _, t in rows]
             assert all(5 * len(a & b) < 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    # each document keeps the position that the mixing stage gave it, over several files
+    mixed = spark.read.parquet(f"{sf}/2")
+    corpus_pipeline.mix_sources(spark, mixed, sf).write.option("maxRecordsPerFile", 7).parquet(f"{sf}/several")
+    want = sorted((r.position, r.doc_id is None, r.doc_id or 0) for r in mixing.mix(mixed, corpus_pipeline.WEIGHTS).collect())
+    for folder in ("3", "several"):
+        out = corpus_pipeline.tokenize(spark, spark.read.parquet(f"{sf}/{folder}"), sf).collect()
+        assert sorted((r.position, r.doc_id is None, r.doc_id or 0) for r in out) == want
     assert sizes[0] > sizes[1] >= sizes[2] == sizes[3] == sizes[4]
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
     assert os.path.exists(f"{sf}/4")
