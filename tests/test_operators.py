@@ -62,6 +62,23 @@ def test_gates(spark):
     assert len(gates.RANKING_GATES) == 15
 
 
+def test_rules_of_gates(spark):
+    """Limits below the baseline, regressions from clean, and redundancy, by values written out."""
+    base = [("clean", "median_auroc", 0.9), ("blur", "median_auroc", 0.86), ("gaussian_noise", "median_auroc", 0.8), ("blur", "fallback_rate", 0.3), ("clean", "fallback_rate", 0.5)]
+    more = {"median_spearman_vs_old_proxy": 0.96, "median_auroc_delta": 0.0, "median_mass_concentration_delta": -0.1}
+
+    def of(baseline, **k):
+        rows = base + [("overall", m, v) for m, v in (more | k).items()] + ([("overall", "fallback_baseline", baseline)] if baseline is not None else [])
+        s = gates.derived(spark.createDataFrame(rows, "scope string, metric string, value double"))
+        return {(r.scope, r.metric): round(r.value, 6) for r in s.collect() if r.metric in ("auroc_regression", "fallback_over_limit", "redundant")}
+
+    assert of(0.5) == {("blur", "auroc_regression"): 0.04, ("gaussian_noise", "auroc_regression"): 0.1, ("blur", "fallback_over_limit"): -0.05, ("clean", "fallback_over_limit"): 0.15, ("overall", "redundant"): 1.0}
+    assert of(0.9, median_auroc_delta=0.01)[("clean", "fallback_over_limit")] == 0.05
+    assert of(0.1)[("blur", "fallback_over_limit")] == float("inf")
+    assert of(None, median_auroc_delta=0.01) == {("blur", "auroc_regression"): 0.04, ("gaussian_noise", "auroc_regression"): 0.1, ("overall", "redundant"): 0.0}
+    assert {g for g, *_ in gates.SCREEN_GATES} == {"median_auroc_delta", "paired_auroc_delta_ci_lower", "coverage_each_corruption", "support_area_ratio", "fallback_each_corruption", "invalid_border", "mass_concentration_delta", "corruption_auroc_regression", "old_proxy_redundancy"}
+
+
 def test_bootstrap(spark):
     values = np.random.default_rng(1).normal(2, 1, 60)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "k long, v double")
