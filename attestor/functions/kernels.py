@@ -398,22 +398,6 @@ def specular(image: np.ndarray, value: float = 0.9, saturation: float = 0.2) ->
     return (top >= value) & ((top - low) / np.maximum(top, 1e-6) <= saturation)
 
 
-def inpaint(image: np.ndarray, mask: np.ndarray, most: float = 0.2) -> np.ndarray:
-    """Masked pixels from the mean of known neighbours, layer by layer; left alone where too much is masked."""
-    mask = mask.astype(bool)
-    if not mask.any() or mask.mean() > most:
-        return np.asarray(image).copy()
-    out, known = np.asarray(image, np.float64).copy(), ~mask
-    while not known.all():
-        k = neighbourhood(known.astype(np.float64), 1, 0.0).sum(0)
-        layer = ~known & (k > 0)
-        for c in range(out.shape[2]):
-            total = neighbourhood(out[..., c] * known, 1, 0.0).sum(0)
-            out[..., c][layer] = (total / np.maximum(k, 1))[layer]
-        known |= layer
-    return np.rint(out).astype(np.uint8)
-
-
 def sobel(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     smooth, slope = np.array([1.0, 2.0, 1.0]), np.array([-1.0, 0.0, 1.0])
     rows = lambda x, t: correlate_rows(x, t)
@@ -442,28 +426,39 @@ def local_binary(image: np.ndarray) -> np.ndarray:
     return sum((shifted(g, dy, dx) >= g).astype(np.uint8) << i for i, (dy, dx) in enumerate(ring)).astype(np.uint8)
 
 
-def gabor(image: np.ndarray, sigma: float = 2.0, wave: float = 6.0) -> np.ndarray:
-    g, r, out = luminance(image), 5, 0.0
+def gabor(image: np.ndarray, size: int = 9, sigma: float = 3.0, wave: float = 6.0, aspect: float = 0.5) -> np.ndarray:
+    """The largest response of four directions, stretched."""
+    g, r, out = luminance(image), size // 2, 0.0
     y, x = np.mgrid[-r : r + 1, -r : r + 1]
     for angle in np.arange(4) * np.pi / 4:
-        u = x * np.cos(angle) + y * np.sin(angle)
-        k = np.exp(-(x**2 + y**2) / (2 * sigma**2)) * np.cos(2 * np.pi * u / wave)
-        k -= k.mean()
-        out = np.maximum(out, np.abs(sum(k[i, j] * shifted(g, i - r, j - r) for i in range(2 * r + 1) for j in range(2 * r + 1))))
-    return stretch(out)
+        along, across = x * np.cos(angle) + y * np.sin(angle), -x * np.sin(angle) + y * np.cos(angle)
+        k = np.exp(-(along**2 + (aspect * across) ** 2) / (2 * sigma**2)) * np.cos(2 * np.pi * along / wave)
+        out = np.maximum(out, np.abs(sum(k[i, j] * shifted(g, i - r, j - r) for i in range(size) for j in range(size))))
+    return stretched(out)
+
+
+def stretched(values: np.ndarray) -> np.ndarray:
+    """The range of the values as 0 to 255; a flat map is 0."""
+    low, high = values.min(), values.max()
+    return np.rint((values - low) / (high - low) * 255).astype(np.uint8) if high > low else np.zeros(values.shape, np.uint8)
 
 
 def wavelet_energy(image: np.ndarray) -> np.ndarray:
-    g = luminance(image)
-    a, b, c, d = g, shifted(g, 0, 1), shifted(g, 1, 0), shifted(g, 1, 1)
-    return stretch(np.sqrt(((a - b + c - d) / 4) ** 2 + ((a + b - c - d) / 4) ** 2 + ((a - b - c + d) / 4) ** 2))
+    """What a level of a pyramid of five binomial taps takes away, stretched."""
+    g, taps = luminance(image), np.array([1, 4, 6, 4, 1]) / 16
+    small = separable(g, taps)[::2, ::2]
+    spread = np.zeros(g.shape)
+    spread[::2, ::2] = small
+    return stretched(np.abs(g - 4 * separable(spread, taps)))
 
 
 def dark_artifacts(image: np.ndarray, size: int = 9, threshold: float = 10.0) -> np.ndarray:
-    """Thin dark structures: closing less the image."""
-    g, r = luminance(image), size // 2
+    """Thin dark structures: closing less the image, over the threshold; gaps in them are closed by a cross."""
+    g, r = luminance(image), max(3, size | 1) // 2
     closed = neighbourhood(neighbourhood(g, r).max(0), r).min(0)
-    return closed - g > threshold
+    mask = closed - g > threshold
+    cross = lambda m, fill: np.stack([m, *(shifted(m, dy, dx, fill) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))])
+    return cross(cross(mask, False).any(axis=0), True).all(axis=0)
 
 
 def unsharp(image: np.ndarray, amount: float = 0.5, sigma: float = 1.0) -> np.ndarray:
@@ -655,55 +650,3 @@ def corrupt(image: np.ndarray, name: str, seed: int = 0) -> np.ndarray:
     if name not in CORRUPTIONS:
         raise ValueError(f"unknown corruption {name!r}; known: {', '.join(sorted(CORRUPTIONS))}")
     return as_bytes(CORRUPTIONS[name](as_unit(image), np.random.default_rng(seed)))
-
-
-CHANNELS = {
-    "luminance": lambda i: np.rint(luminance(i)).astype(np.uint8),
-    "invariant": invariant_gray,
-    "shade_attenuated": shade_attenuated,
-    "chromaticity": red_chromaticity,
-    "density": density_component,
-    "saliency": lambda i: as_bytes(saliency(i)),
-    "lbp": local_binary,
-    "gabor": gabor,
-    "wavelet": wavelet_energy,
-    "clahe": lambda i: clahe(np.rint(luminance(i)).astype(np.uint8)),
-    "gradient": lambda i: stretch(np.hypot(*sobel(luminance(i)))),
-}
-
-
-def with_channel(image: np.ndarray, name: str) -> np.ndarray:
-    if name not in CHANNELS:
-        raise ValueError(f"unknown channel {name!r}; known: {', '.join(sorted(CHANNELS))}")
-    return np.concatenate([image, CHANNELS[name](image)[..., None]], axis=-1)
-
-
-#: Stages of preprocessing in the order in which they run, whatever order they are configured in.
-STAGES = ["restoration", "hair_removal", "color_constancy", "gamma", "retinex", "shading", "specular", "clahe", "contrast_stretch", "filter", "sharpen", "modulation", "extra_channel"]
-
-
-def preprocess(image: np.ndarray, config: dict[str, dict]) -> np.ndarray:
-    """Runs the stages that the configuration enables."""
-    if unknown := set(config) - set(STAGES):
-        raise ValueError(f"unknown stages: {sorted(unknown)}")
-    each = lambda i, f: np.stack([np.clip(np.rint(f(i[..., c])), 0, 255).astype(np.uint8) for c in range(3)], -1)
-    steps = {
-        "restoration": lambda i, c: each(i, lambda g: deblock(wiener(g, **c))),
-        "hair_removal": lambda i, c: inpaint(i, dark_artifacts(i, **c)),
-        "color_constancy": lambda i, c: shades_of_gray(i, **c),
-        "gamma": lambda i, c: gamma(i, c.get("value", 1.0)),
-        "retinex": lambda i, c: retinex(i, **c),
-        "shading": lambda i, c: shading_corrected(i, **c),
-        "specular": lambda i, c: inpaint(i, specular(i, **c)),
-        "clahe": lambda i, c: on_lightness(i, lambda g: clahe(g, **c)),
-        "contrast_stretch": lambda i, c: on_lightness(i, lambda g: stretch(g.astype(float), **c)),
-        "filter": lambda i, c: filtered(i, c.get("kind", "median"), c.get("size", 3)),
-        "sharpen": lambda i, c: unsharp(i, **c),
-        "modulation": lambda i, c: modulated(i, **c)[0],
-        "extra_channel": lambda i, c: with_channel(i, c["name"]),
-    }
-    for name in STAGES:
-        settings = dict(config.get(name, {"enabled": False}))
-        if settings.pop("enabled", True):
-            image = steps[name](image, settings)
-    return image

@@ -117,27 +117,27 @@ def described(image: np.ndarray, label: np.ndarray, border: float = 0.1, spatial
 def mean_shift(image: np.ndarray, space: int = 8, colour: float = 18.0, steps: int = 5) -> np.ndarray:
     """Each pixel moves to the mean place and colour of those within `space` pixels and `colour` levels of where it is, and takes that colour.
 
-    All pixels move at once, one offset of the window at a time; a pixel rests when it moves by less than a tenth.
+    All pixels move at once, in parts of bounded size; a pixel rests when it moves by less than a tenth.
     """
     f = np.asarray(image, np.float64)
     h, w = f.shape[:2]
     place, tone = np.stack(np.mgrid[:h, :w], -1).astype(np.float64), f.copy()
     live = np.ones((h, w), bool)
+    reach = [min(space, n - 1) for n in (h, w)]
+    offsets = np.stack(np.mgrid[-reach[0] : reach[0] + 1, -reach[1] : reach[1] + 1], -1).reshape(-1, 2)
     for _ in range(steps):
-        at = np.rint(place[live]).astype(int)
-        now = tone[live]
-        n, sums = np.zeros(len(at)), np.zeros((len(at), 5))
-        for dy in range(-space, space + 1):
-            for dx in range(-space, space + 1):
-                y, x = at[:, 0] + dy, at[:, 1] + dx
-                ok = (y >= 0) & (y < h) & (x >= 0) & (x < w)
-                y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
-                ok &= ((f[y, x] - now) ** 2).sum(-1) <= colour**2
-                n += ok
-                sums += np.concatenate([f[y, x], y[:, None], x[:, None]], -1) * ok[:, None]
-        found = sums / np.maximum(n, 1)[:, None]
-        found[n == 0] = np.concatenate([now, place[live]], -1)[n == 0]
-        moved = np.abs(found[:, 3:] - place[live]).sum(-1) + np.abs(found[:, :3] - now).sum(-1)
+        now, here = tone[live], place[live]
+        found = np.concatenate([now, here], -1)
+        for i in range(0, len(now), 2048):
+            part = slice(i, i + 2048)
+            at = np.rint(here[part]).astype(int)[:, None] + offsets
+            inside = ((at >= 0) & (at < (h, w))).all(-1)
+            y, x = np.moveaxis(np.clip(at, 0, (h - 1, w - 1)), -1, 0)
+            near = inside & (((f[y, x] - now[part, None]) ** 2).sum(-1) <= colour**2)
+            n, values = near.sum(1), np.concatenate([f[y, x], y[..., None], x[..., None]], -1)
+            mean = (values * near[..., None]).sum(1) / np.maximum(n, 1)[:, None]
+            found[part] = np.where(n[:, None] > 0, mean, found[part])
+        moved = np.abs(found[:, 3:] - here).sum(-1) + np.abs(found[:, :3] - now).sum(-1)
         tone[live], place[live] = found[:, :3], found[:, 3:]
         live[live] = moved >= 0.1
         if not live.any():

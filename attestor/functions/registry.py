@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+from . import channels as named
 from . import kernels
 
 
@@ -30,6 +31,6 @@ class Registry:
 
 
 corruptions = Registry("corruption", kernels.CORRUPTIONS)
-channels = Registry("channel", kernels.CHANNELS)
+channels = Registry("channel", named.CHANNELS)
 #: The clock that time-outs read; tests put their own in.
 clock: Callable[[], float] = time.monotonic

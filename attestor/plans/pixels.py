@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.functions import channels, regions
 from attestor.functions import kernels as k
 from attestor.operators.rasters import byte_levels, measure
 
@@ -254,7 +255,7 @@ for _name, _f in {
     "kernel_median": lambda i: k.filtered(i, "median"),
     "kernel_bilateral": lambda i: k.filtered(i, "bilateral"),
     "kernel_shading": lambda i: k.shading_corrected(i, 2.0),
-    "kernel_specular": lambda i: k.inpaint(i, k.specular(i)),
+    "kernel_specular": lambda i: regions.filled(i, k.specular(i)),
     "kernel_black_frame": k.black_frame,
     "kernel_dark_artifacts": k.dark_artifacts,
     "kernel_unsharp": k.unsharp,
@@ -272,8 +273,11 @@ for _name, _f in {
     "kernel_jpeg": lambda i: k.corrupt(i, "jpeg"),
     "kernel_blur": lambda i: k.corrupt(i, "gaussian_blur"),
     "kernel_noise": lambda i: k.corrupt(i, "gaussian_noise", 7),
+    "kernel_boundary_proxy": regions.boundary_proxy,
+    "kernel_superpixels": lambda i: regions.superpixels(i, 4),
+    "kernel_regions": lambda i: regions.described(i, regions.superpixels(i, 4)),
     "kernel_resize": lambda i: k.resize(i, 5, 7),
-    "kernel_preprocess": lambda i: k.preprocess(i, {"clahe": {}, "contrast_stretch": {}, "filter": {"kind": "median"}, "extra_channel": {"name": "lbp"}}),
+    "kernel_preprocess": lambda i: channels.preprocess(i, {"clahe": {}, "contrast_stretch": {}, "filter": {"kind": "median"}, "extra_channel": {"name": "lbp_texture"}}),
 }.items():
     _kernel_query(_name, _total(_f), "total double")
 _kernel_query("kernel_ssim", lambda i: {"ssim": k.ssim(i, i[:, ::-1], 64)}, "ssim double")

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from attestor.functions import channels, regions
 from attestor.functions import kernels as k
 
 RNG = np.random.default_rng(206)
@@ -125,7 +126,7 @@ def test_masks_and_paint():
     bright = np.full((10, 10, 3), 90, np.uint8)
     bright[4:6, 4:6] = 255
     hot = k.specular(bright)
-    assert hot.sum() == 4 and (k.inpaint(bright, hot) == 90).all()
+    assert hot.sum() == 4 and (regions.filled(bright, hot) == 90).all()
     framed = np.full((20, 20, 3), 150, np.uint8)
     framed[:2] = 0
     framed[10, 10] = 0
@@ -140,17 +141,20 @@ def test_names_and_stages():
         out = k.corrupt(IMAGE, name, 3)
         assert out.shape == IMAGE.shape and out.dtype == np.uint8
         assert (out == k.corrupt(IMAGE, name, 3)).all()
-    for name in k.CHANNELS:
-        assert k.with_channel(IMAGE, name).shape == (24, 20, 4)
+    for name in channels.CHANNELS:
+        assert channels.with_channel(IMAGE, name).shape == (24, 20, 4)
+    assert (channels.with_channel(IMAGE, "Hair_Mask") == channels.with_channel(IMAGE, "dark_artifact_mask")).all() and set(channels.ALIASES.values()) <= set(channels.CHANNELS)
+    assert (channels.with_channel(IMAGE, "none") == IMAGE).all() and (channels.with_channel(IMAGE, None) == IMAGE).all() and (channels.with_channel(IMAGE, "zeros")[..., 3] == 0).all()
+    assert abs(channels.lightness(np.full((2, 2, 3), 255, np.uint8)).astype(int) - 255).max() <= 1 and (channels.with_channel(IMAGE, "v_star")[..., 3] == IMAGE.max(-1)).all()
     with pytest.raises(ValueError):
         k.corrupt(IMAGE, "fog")
     with pytest.raises(ValueError):
-        k.with_channel(IMAGE, "depth")
-    every = {s: {} for s in k.STAGES} | {"extra_channel": {"name": "lbp"}, "gamma": {"value": 1.2}, "retinex": {"sigma": 3.0}, "shading": {"sigma": 3.0}}
-    assert k.preprocess(IMAGE, every).shape == (24, 20, 4)
-    assert (k.preprocess(IMAGE, {"clahe": {"enabled": False}}) == IMAGE).all()
+        channels.with_channel(IMAGE, "depth")
+    every = {s: {} for s in channels.STAGES} | {"extra_channel": {"name": "lbp_texture"}, "gamma": {"value": 1.2}, "retinex": {"sigma": 3.0}, "shading": {"sigma": 3.0}}
+    assert channels.preprocess(IMAGE, every).shape == (24, 20, 4)
+    assert (channels.preprocess(IMAGE, {"clahe": {"enabled": False}}) == IMAGE).all()
     with pytest.raises(ValueError):
-        k.preprocess(IMAGE, {"sparkle": {}})
+        channels.preprocess(IMAGE, {"sparkle": {}})
 
 
 def test_contour_and_modulation():
@@ -169,3 +173,50 @@ def test_resize():
     assert np.allclose(k.resize(a, 6, 8), a)
     assert np.allclose(k.resize(a, 3, 4, "area"), a.reshape(3, 2, 4, 2).mean((1, 3)))
     assert k.resize(a, 12, 16, "nearest").shape == (12, 16)
+
+
+def folded(i, n):
+    """A place beyond the border, reflected without repeating the border itself."""
+    i = abs(i) % (2 * (n - 1))
+    return i if i < n else 2 * (n - 1) - i
+
+
+def test_gabor_by_loops():
+    g = k.luminance(IMAGE)
+    h, w = g.shape
+    best = np.zeros((h, w))
+    for angle in (0, 45, 90, 135):
+        c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+        for y in range(h):
+            for x in range(w):
+                total = 0.0
+                for dy in range(-4, 5):
+                    for dx in range(-4, 5):
+                        u, v = dx * c + dy * s, -dx * s + dy * c
+                        total += math.exp(-(u * u + 0.25 * v * v) / 18) * math.cos(2 * math.pi * u / 6) * g[folded(y + dy, h), folded(x + dx, w)]
+                best[y, x] = max(best[y, x], abs(total))
+    want = (best - best.min()) / (best.max() - best.min()) * 255
+    assert abs(k.gabor(IMAGE) - want).max() <= 0.51
+
+
+def test_wavelet_energy_by_loops():
+    g = k.luminance(IMAGE)
+    h, w = g.shape
+    taps = [1, 4, 6, 4, 1]
+    small = {(y, x): sum(taps[i] * taps[j] * g[folded(y + i - 2, h), folded(x + j - 2, w)] for i in range(5) for j in range(5)) / 256 for y in range(0, h, 2) for x in range(0, w, 2)}
+    detail = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            up = sum(taps[i] * taps[j] * small.get((folded(y + i - 2, h), folded(x + j - 2, w)), 0.0) for i in range(5) for j in range(5)) / 64
+            detail[y, x] = abs(g[y, x] - up)
+    want = (detail - detail.min()) / (detail.max() - detail.min()) * 255
+    assert abs(k.wavelet_energy(IMAGE) - want).max() <= 0.51
+    assert (k.wavelet_energy(np.full((6, 6, 3), 50, np.uint8)) <= 255).all()
+
+
+def test_holes_in_dark_lines_are_closed():
+    hair = np.full((20, 20, 3), 200, np.uint8)
+    hair[:, 8:11] = 60
+    hair[7, 9] = 198
+    found = k.dark_artifacts(hair)
+    assert found[:, 8:11].all() and found.sum() == 60
