@@ -54,7 +54,7 @@ def _node(op, av) -> tuple[set[str] | None, Query]:
         return {chr(av).lower()}, TRUE
     if op is _constants.IN:
         chars = {chr(v).lower() for o, v in av if o is _constants.LITERAL}
-        return (chars, TRUE) if len(chars) <= 4 and all(o is _constants.LITERAL for o, _ in av) else (None, TRUE)
+        return (chars, TRUE) if len(chars) <= MANY and all(o is _constants.LITERAL for o, _ in av) else (None, TRUE)
     if op is _constants.SUBPATTERN:
         return _sequence(av[-1])
     if op is _constants.BRANCH:

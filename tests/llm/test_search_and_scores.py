@@ -131,3 +131,10 @@ def test_held_out_labels_are_not_read(spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as toxic")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.learn(docs, labels) == toxicity.learn(docs, flipped)
+
+
+def test_classes_of_letters_give_trigrams():
+    """A class of a few letters is multiplied out, however many branches that makes below the bound; a range is not."""
+    assert set(secrets.trigram_query(r"gh[pousr]_[A-Za-z0-9]+", 0)) == {frozenset({f"gh{c}", f"h{c}_"}) for c in "pour"} | {frozenset({"ghs", "hs_"})}
+    assert secrets.trigram_query(r"[0-9a-f]+", 0) == secrets.TRUE
+    assert secrets.trigram_query(r"a[b-d]e", 0) == secrets.TRUE
