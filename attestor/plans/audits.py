@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +110,32 @@ def refinement_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     m = m.where(F.exists("target", lambda x: x) & F.exists("target", lambda x: ~x))
     d = audits.refinement_deltas(c("base"), c("fine"), c("target"), 8, 8)
     return m.select("vec_id", *((v if n == "invalid_border" else F.round(v, 9)).alias(n) for n, v in d.items()))
+
+
+@query(PX + """, a AS (SELECT a.vec_id, a.y, a.x, a.g >= 120 AS base, a.g >= 135 AS fine, b.g >= 128 AS target FROM px a JOIN px b ON a.vec_id = b.vec_id AND b.i = CASE WHEN a.i % 2 = 0 THEN a.i ELSE 63 - a.i END),
+m AS (SELECT vec_id, 'base' AS arm, y, x, base AS p FROM a UNION ALL SELECT vec_id, 'fine', y, x, fine FROM a UNION ALL SELECT vec_id, 'target', y, x, target FROM a),
+e AS (SELECT p.vec_id, p.arm, p.y, p.x FROM m p JOIN m q ON q.vec_id = p.vec_id AND q.arm = p.arm AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.p WHERE p.p GROUP BY p.vec_id, p.arm, p.y, p.x HAVING count(*) < 9),
+f AS (SELECT p.vec_id, p.arm, p.y, p.x, t.y AS ty, t.x AS tx, sqrt((p.y - t.y) ** 2 + (p.x - t.x) ** 2) AS d FROM e p JOIN e t ON p.vec_id = t.vec_id AND t.arm = 'target' WHERE p.arm <> 'target'),
+d AS (SELECT vec_id, arm, 'p' AS side, min(d) AS d FROM f GROUP BY vec_id, arm, y, x UNION ALL SELECT vec_id, arm, 't', min(d) FROM f GROUP BY vec_id, arm, ty, tx),
+s AS (SELECT vec_id, arm, avg((d <= 1)::INT::DOUBLE) FILTER (WHERE side = 'p') AS p, avg((d <= 1)::INT::DOUBLE) FILTER (WHERE side = 't') AS r, quantile_cont(d, 0.95) AS hd95, avg(d) AS assd FROM d GROUP BY vec_id, arm),
+w AS (SELECT vec_id, arm, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1, hd95, assd FROM s)
+SELECT b.vec_id, round(f.f1 - b.f1, 8) AS boundary_f1_delta, CASE WHEN b.assd > 0 THEN round((b.assd - f.assd) / b.assd, 8) END AS assd_relative_improvement, CASE WHEN b.hd95 > 0 THEN round((f.hd95 - b.hd95) / b.hd95, 8) END AS hd95_relative_regression
+FROM w b JOIN w f ON b.vec_id = f.vec_id AND b.arm = 'base' AND f.arm = 'fine'""")
+def refinement_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """What a refined mask gains on its baseline by boundary F1 (tolerance 1), mean surface distance and 95th percentile distance.
+
+    Images without a boundary in one of the masks take no part; a relative figure is null where the baseline's is 0.
+    """
+
+    def scores(g):
+        flat = g.ravel()
+        at = np.arange(64)
+        target = (np.where(at % 2 == 0, flat, flat[63 - at]) >= 128).reshape(8, 8)
+        base, fine = (k.boundary_scores(g >= level, target, 1.0) for level in (120, 135))
+        every = all(m.any() for m in (g >= 120, g >= 135, target))
+        gain = {"boundary_f1_delta": fine["boundary_f1"] - base["boundary_f1"], "base_assd": base["assd"], "fine_assd": fine["assd"], "base_hd95": base["hd95"], "fine_hd95": fine["hd95"]}
+        return gain | {"every": int(every)}
+
+    f = over(spark, sf, scores, "boundary_f1_delta double, base_assd double, fine_assd double, base_hd95 double, fine_hd95 double, every long").where("every = 1")
+    relative = lambda x, sign: F.when(c(f"base_{x}") > 0, F.round(sign * (c(f"base_{x}") - c(f"fine_{x}")) / c(f"base_{x}"), 8))
+    return f.select("vec_id", F.round("boundary_f1_delta", 8).alias("boundary_f1_delta"), relative("assd", 1).alias("assd_relative_improvement"), relative("hd95", -1).alias("hd95_relative_regression"))
