@@ -307,3 +307,18 @@ def image_decode(spark: SparkSession, sf: str) -> DataFrame:
     levels = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.conv(F.hex(F.substring(x, i, F.lit(1))), 16, 10).cast("long"))
     total = lambda x: F.aggregate(levels(x), F.lit(0).cast("long"), lambda a, v: a + v)
     return both.select("vec_id", "height", "width", total("grey").alias("total"), total("mask").alias("masked"))
+
+
+@query()
+def calibrated_prior(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest on superpixels, clean and with noise, scored out of fold; every threshold with its figures, and which one is taken."""
+    from attestor.operators import prior
+
+    g = grids(spark, sf)
+    rgb = F.flatten(F.transform("g", lambda v, i: F.array(v, F.get("g", (i % 8) * 8 + F.floor(i / 8).cast("int")), 255 - v)))
+    images = g.select(c("vec_id").alias("id"), c("vec_id").cast("string").alias("group_key"), rgb.alias("pixels"), F.transform("g", lambda v: (v > 140).cast("int")).alias("mask"))
+    rows = prior.region_rows(images, 8, 8, 6)
+    from attestor.operators.graphs import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(rows)
+    return prior.thresholds(prior.out_of_fold(rows.checkpoint()))

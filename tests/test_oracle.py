@@ -5,7 +5,7 @@ from attestor.plans import registry
 from .compare import SF, assert_same, duck
 
 con = duck()
-SLOW = {"kernel_ssim", "kernel_contour", "kernel_gabor"}
+SLOW = {"kernel_ssim", "kernel_contour", "kernel_gabor", "calibrated_prior"}  # their operators have tests of their own
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
