@@ -26,6 +26,8 @@ from . import common
 SEGMENT = r"(?s).(?:[^ ]+|(?<=[\s▁\x1c-\x1f]) | \Z)*"
 #: Longer segments are not kept from one block to the next.
 KEPT_CHARS = 64
+#: Ends and starts of segments, which only those of a text have, over which white space may join what follows or goes before.
+OPEN, OPEN_TO_ALL, SPACES = (re.compile(x) for x in (r"[\s▁\x1c-\x1f]\Z", r"[ ▁]\Z", r" [\s▁\x1c-\x1f]"))
 Merged = tuple[int, int, int, str, list[int]]  # tokens of A, of B, groups, the groups as text, links (A's id << 32 | B's)
 
 
@@ -92,15 +94,24 @@ class Tokenizers:
                 out[s] = self.known[s] = self.older[s]
             else:
                 new.append(s)
-        for at in range(0, len(new), 1024):
-            self._encode(new[at : at + 1024], out)
-        self.known.update((s, out[s]) for s in new if len(s) <= KEPT_CHARS)
+        ends, alone = [], []
+        if self.local:  # white space at an end goes before none but one space and a word, spaces and the like before nothing
+            ends = [s for s in new if OPEN.search(s[-1:])]
+            alone = [s for s in ends if OPEN_TO_ALL.search(s[-1:]) or SPACES.match(s)]
+            apart, last = {*ends}, {*alone}
+            new, ends = [s for s in new if s not in apart], [s for s in ends if s not in last]
+        for part in (new, ends):
+            for at in range(0, len(part), 1024):
+                self._encode(part[at : at + 1024], out)
+        for s in alone:
+            self._encode([s], out)
+        self.known.update((s, out[s]) for s in chain(new, ends, alone) if len(s) <= KEPT_CHARS)
         if len(self.known) > self.most:  # what was used since the last time stays
             self.known, self.older = {}, self.known
         return [out[s] for s in segments]
 
     def _encode(self, segments: list[str], out: dict[str, Merged | None]) -> None:
-        """Encodes segments as one text, since none depends on what surrounds it, and halves them where bytes aren't given back."""
+        """Encodes segments as one text, where none depends on what surrounds it, and halves them where bytes aren't given back."""
         if not self.local and len(segments) > 1:
             for s in segments:
                 self._encode([s], out)

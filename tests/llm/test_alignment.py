@@ -105,6 +105,14 @@ def test_segments_give_the_tokens_of_whole_texts(plain):
     assert ok > 100 and len(t.cut("a b c")) == 3
 
 
+def test_white_space_at_the_end_of_a_text_joins_no_other_text(plain):
+    r = random.Random(3)
+    ends = ["", " ", "  ", "\n", "\n\n", "\t ", "\u00a0", "\u3000 ", " \n", "\x1c", "▁", "     "]
+    texts = [r.choice(ends) + r.choice(["a", "中", "The word", "12", ""]) + r.choice(ends) for _ in range(400)]
+    found = alignment._block(0, [*map(str, range(len(texts)))], texts, alignment.Tokenizers(*PATHS))["documents"]
+    assert [(d[1], *d[2:6]) for d in found] == [x[:5] for x in held(plain, texts)]
+
+
 def test_merge():
     def two_pointers(a, b):
         links, groups, i, j = [], [], 0, 0
