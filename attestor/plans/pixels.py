@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import channels, regions
 from attestor.functions import kernels as k
-from attestor.operators.rasters import byte_levels, measure
+from attestor.operators.rasters import byte_levels, measure, spread
 
 from .base import query, table
 
@@ -109,11 +111,14 @@ def region_targets(spark: SparkSession, sf: str) -> DataFrame:
 @query(PX + """, a AS (SELECT vec_id, y, x, avg(g) OVER (PARTITION BY vec_id, y // 4, x // 4) AS s4, avg(g) OVER (PARTITION BY vec_id, y // 2, x // 2) AS s2 FROM px)
 SELECT vec_id, y, x, round((s4 + s2) / 2, 6) AS score FROM a""")
 def multiscale_map(spark: SparkSession, sf: str) -> DataFrame:
-    """The mean of region scores of two scales, pixel by pixel, inside the row."""
-    i = F.sequence(F.lit(0), F.lit(63))
-    block = lambda p, s: F.transform(F.filter(i, lambda j: (F.floor(F.floor(j / 8) / s) == F.floor(F.floor(p / 8) / s)) & (F.floor((j % 8) / s) == F.floor((p % 8) / s))), lambda j: F.get("g", j))
-    out = F.transform(i, lambda p: (mean(block(p, 4)) + mean(block(p, 2))) / 2)
-    m = grids(spark, sf).select("vec_id", F.posexplode(out).alias("i", "s"))
+    """The mean of region scores of two scales, pixel by pixel, inside the row: each region's score is found once."""
+    places = lambda y, x, s: [8 * (y * s + j) + x * s + i for j in range(s) for i in range(s)]
+    score = lambda at: reduce(Column.__add__, (F.get("g", j).cast("double") for j in at)) / len(at)
+    scores = lambda s: F.array(*(score(places(y, x, s)) for y in range(8 // s) for x in range(8 // s)))
+    of = lambda p, s: F.floor(p / 8 / s) * (8 // s) + F.floor(p % 8 / s)
+    rows = spread(grids(spark, sf), "vec_id").select("vec_id", scores(4).alias("s4"), scores(2).alias("s2"))
+    out = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: (F.get("s4", of(p, 4).cast("int")) + F.get("s2", of(p, 2).cast("int"))) / 2)
+    m = rows.select("vec_id", F.posexplode(out).alias("i", "s"))
     return m.select("vec_id", F.floor(c("i") / 8).cast("int").alias("y"), (c("i") % 8).alias("x"), F.round("s", 6).alias("score"))
 
 
@@ -317,7 +322,7 @@ def calibrated_prior(spark: SparkSession, sf: str) -> DataFrame:
     g = grids(spark, sf)
     rgb = F.flatten(F.transform("g", lambda v, i: F.array(v, F.get("g", (i % 8) * 8 + F.floor(i / 8).cast("int")), 255 - v)))
     images = g.select(c("vec_id").alias("id"), c("vec_id").cast("string").alias("group_key"), rgb.alias("pixels"), F.transform("g", lambda v: (v > 140).cast("int")).alias("mask"))
-    rows = prior.region_rows(images, 8, 8, 6)
+    rows = prior.region_rows(spread(images, "id").sortWithinPartitions("id"), 8, 8, 6)
     from attestor.operators.graphs import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(rows)
