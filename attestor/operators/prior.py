@@ -18,7 +18,7 @@ from attestor.functions import kernels, regions
 from attestor.sources import artifacts
 
 #: The forest's parameters, the thresholds that are tried, and what a threshold must keep to in every condition.
-FOREST = {"numTrees": 96, "maxDepth": 12, "minInstancesPerNode": 3, "featureSubsetStrategy": "0.75", "subsamplingRate": 0.65, "seed": 205}
+FOREST = {"numTrees": 96, "maxDepth": 12, "minInstancesPerNode": 3, "featureSubsetStrategy": "0.75", "subsamplingRate": 0.65, "seed": 205, "maxMemoryInMB": 512, "cacheNodeIds": True}
 GRID = [0.01, 0.02, 0.03, 0.04] + [round(0.05 + 0.025 * i, 3) for i in range(19)]
 LEAST_COVERAGE, MOST_SUPPORT = 0.97, 0.60
 
@@ -61,8 +61,11 @@ def fit(rows: DataFrame, **forest) -> RandomForestRegressionModel:
 
 
 def out_of_fold(rows: DataFrame, folds: int = 5, **forest) -> DataFrame:
-    """The rows with `score`: what a forest of the other folds predicts. A group is in one fold, by its hash."""
-    data = _vectors(rows).withColumn("fold", F.pmod(F.xxhash64("group_key"), F.lit(folds)))
+    """The rows with `score`: what a forest of the other folds predicts. A group is in one fold, by its hash.
+
+    A pass of a fit yields the figures of all nodes for each part of the rows, so there is one part a core at most.
+    """
+    data = _vectors(rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)).withColumn("fold", F.pmod(F.xxhash64("group_key"), F.lit(folds)))
     parts = []
     for fold in range(folds):
         model = RandomForestRegressor(**(FOREST | forest)).fit(data.where(F.col("fold") != fold))

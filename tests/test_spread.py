@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestor.functions import kernels, regions
-from attestor.operators import similarity
+from attestor.operators import prior, similarity
 from attestor.plans import leakage, pixels, registry
 
 from .compare import SF
@@ -59,3 +59,9 @@ def test_multiscale_of_an_odd_row(spark, tmp_path):
     spark.createDataFrame([(1, [0.5] * 64), (2, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = pixels.multiscale_map(spark, str(tmp_path)).collect()
     assert len(got) == 128 and {r.score for r in got if r.vec_id == 1} == {191.0} and {r.score for r in got if r.vec_id == 2} == {None}
+
+
+def test_forests_of_folds_see_one_part_a_core(spark):
+    rows = spark.range(200).selectExpr("id", "cast(id as string) group_key", "'clean' view", "0 region", f"transform(sequence(1, {len(regions.NAMES)}), i -> cast((id * i) % 7 as double)) features", "10L n", "id % 11 inside")
+    scored = prior.out_of_fold(rows.repartition(40), folds=2, numTrees=1, maxDepth=1)
+    assert scored.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and scored.count() == 200
