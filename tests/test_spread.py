@@ -43,6 +43,28 @@ def test_similarity_of_small_rasters():
         assert blurred.similarity(g, h, want + 1e-6) is None
 
 
+def test_bound_from_parts_is_never_below_the_similarity():
+    r = np.random.default_rng(1)
+    blurred = similarity.Blurred(8, 8, 64)
+    told = []
+    for k in range(200):
+        g = r.integers(0, 256, (8, 8)).astype(float) if k % 2 else r.integers(90, 130, (8, 8)).astype(float)
+        h = np.clip(g + (40 if k % 4 == 0 else r.integers(-60, 60, g.shape)), 0, 255)
+        most, found = blurred.most(blurred.parts(g), blurred.parts(h)), blurred.similarity(g, h)
+        told.append(most < 0.98)
+        assert most >= found - 1e-9 and (not told[-1] or blurred.similarity(g, h, 0.98) is None)
+    assert all(told[::4])  # brighter by 40: no place is compared
+
+
+def test_pairs_of_one_tile_lie_together(spark, tmp_path):
+    spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 200").write.parquet(f"{tmp_path}/embeddings.parquet")
+    contents = leakage.contents_of(leakage.records(spark, str(tmp_path)))
+    assert contents.groupBy("block").count().agg(F.max("count")).first()[0] < 4 * leakage.BLOCK
+    pairs = leakage.near_contents(contents)
+    raw = {r.id: r.g for r in contents.collect()}
+    assert all(r.ga == raw[r.a] and r.gb == raw[r.b] and r.n > 0 for r in pairs.collect())
+
+
 def test_mean_shift_of_small_images_by_loops():
     r = np.random.default_rng(2)
     image = (r.integers(0, 3, (5, 7, 3)) * 12).astype(np.uint8)
