@@ -417,6 +417,8 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
 
     def close(pairs: DataFrame, label: str) -> DataFrame:
         pairs = common.materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-pairs")
+        if pairs.isEmpty():
+            return pairs
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
         texts = common.materialise(raw.join(needed, "digest").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts")
         side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
@@ -446,10 +448,17 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
     fp = lambda k, name: same.select(F.col("fp").alias(k), F.col("first").alias(name))
     by_bits = links(same.select("fp"), radius).join(fp("u", "a"), "u").join(fp("v", "b"), "v").select("a", "b")
     found = close(nodes.join(same, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).union(by_bits), "by-bits")
-    found = found.union(close(met_in_blocks(in_parts(members(of(found))), lambda x: x.few(least)), "few"))
-    found = found.union(close(met_in_blocks(crossing(members(of(found))), lambda x: x.across(least, 3), "parities"), "nearest"))
-    found = found.union(close(met_in_blocks(crossing(members(of(found))), lambda x: x.across(least), "parities"), "rest"))
     joined = of(found)
+    rounds = {
+        "few": lambda: met_in_blocks(in_parts(members(joined)), lambda x: x.few(least)),
+        "nearest": lambda: met_in_blocks(crossing(members(joined)), lambda x: x.across(least, 3), "parities"),
+        "rest": lambda: met_in_blocks(crossing(members(joined)), lambda x: x.across(least), "parities"),
+    }
+    for label, pairs in rounds.items():
+        more = close(pairs(), label)
+        if not more.isEmpty():  # else components are what they were
+            found = found.union(more)
+            joined = of(found)
     labels = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "digest").join(labels, "digest")
 

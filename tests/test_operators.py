@@ -137,3 +137,17 @@ def test_registry():
         r["c"]
     with pytest.raises(ValueError):
         r.add("a", len)
+
+
+def test_links_that_are_stars_take_no_round(spark):
+    from attestor.operators.graphs import stars
+
+    def rounds(links):
+        cuts = []
+        edges = stars(spark.createDataFrame(links, "u long, v long"), lambda e: cuts.append(1) or e.localCheckpoint())
+        return {(r.u, r.v) for r in edges.collect()}, len(cuts)
+
+    assert rounds([(5, 1), (1, 7), (9, 3), (4, 4), (7, 1)]) == ({(5, 1), (7, 1), (9, 3)}, 1)
+    assert rounds([(4, 4)]) == (set(), 1)
+    found, many = rounds([(i, i + 1) for i in range(20)] + [(30, 31), (32, 31)])
+    assert found == {(i, 0) for i in range(1, 21)} | {(31, 30), (32, 30)} and many > 1
