@@ -79,21 +79,22 @@ def slots(totals: DataFrame, weights: dict[str, int], block_rows: int) -> DataFr
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, int], block_rows: int = 16, per_bucket: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int], block_rows: int = 16, per_bucket: int = 4096, keep: list[str] | None = None) -> DataFrame:
     """docs with pool, block, slot and position (from 0): the order that interleaves sources to their target weights.
 
     weights: an integer share for each source; sources without one, and null, form one pool with the weight of '(other)'
     (1 if it has none). A block is `block_rows` consecutive documents of a pool, the last one what is left. Every document
     gets a position, none is dropped or repeated; rows that repeat a doc_id are placed one after the other. After any
     number of slots each pool has had less than one block more or less than its share of them, as long as it has any left.
-    Empty tables give empty results. Columns of docs stay; a column named like a new one is replaced.
+    Empty tables give empty results. Columns of docs stay (of them only those in `keep`, if it is given); a column named like
+    a new one is replaced.
     """
     if any(v < 1 or v != int(v) for v in weights.values()):
         raise ValueError("weights must be positive integers")
     weights = {OTHER: 1} | weights
     named = {k: v for k, v in weights.items() if k != OTHER}
     weight = lambda pool: F.element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v)))), F.col(pool)).cast("long")
-    own = [F.col("`" + x.replace("`", "``") + "`") for x in docs.columns if x not in ("pool", "block", "slot", "position")]
+    own = [F.col("`" + x.replace("`", "``") + "`") for x in (docs.columns if keep is None else keep) if x not in ("pool", "block", "slot", "position")]
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     docs = docs.select(F.struct(*own).alias("_row"), "doc_id", "source", text.alias("text"))
     placed = in_pools(docs, named, per_bucket)

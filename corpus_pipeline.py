@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import bpe, common, exact_dedup, mixing, simhash, toxicity
@@ -56,31 +56,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(docs, WEIGHTS)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, position): the place of each document in its files, as the mixing stage sorted them.
-
-    Places of files are running sums over a row for each file. Documents that don't come from files of a sorted write are mixed anew.
-    """
-    number = lambda pattern: F.coalesce(F.regexp_extract("file", pattern, 1).try_cast("long"), F.lit(0))
-    try:
-        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    except AnalysisException:
-        return mixing.mix(docs, WEIGHTS).select("doc_id", "text", "position")
-    before = Window.orderBy("part", "piece", "file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").count().select("file", "count", number(r"^part-(\d+)").alias("part"), number(r"c(\d+)\.").alias("piece"))
-    files = files.select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(files), "file").select("doc_id", "text", (F.col("before") + F.col("at")).alias("position"))
-
-
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document, digests of the ids and of the text they decode to, and its position in the mixture.
 
+    The position is that of mixing.mix(), whatever files hold the documents. It is found without their texts: rows of files are
+    known by file and row there; only documents that don't come from files are mixed as a whole.
+
     Null text counts as empty; rows that repeat a doc_id, or have none, are encoded one by one; an empty table gives none.
     """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    placed = _placed(docs).select(F.struct("doc_id", "position").alias("doc_id"), "text")
-    out = bpe.decode(bpe.encode(placed, path, public_tokenizers.PATTERN), path)
-    return out.select("doc_id.doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.position")
+    order = None
+    try:
+        rows = docs.select("doc_id", "text", "source", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+        order = mixing.mix(rows, WEIGHTS, keep=["at"]).select("at.file", "at.row", "position")
+    except AnalysisException:
+        rows = mixing.mix(docs, WEIGHTS).select("doc_id", "text", F.struct("position").alias("at"))
+    out = bpe.decode(bpe.encode(rows.select(F.struct("doc_id", "at").alias("doc_id"), "text"), path, public_tokenizers.PATTERN), path)
+    out = out.select("doc_id.doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.at.*")
+    return out if order is None else out.join(order, ["file", "row"]).drop("file", "row")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
