@@ -399,8 +399,8 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
     """
     raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     raw = raw.select("doc_id", F.col("text").cast("binary").alias("text"), F.sha2("text", 256).alias("digest"))
-    rows = common.materialise(marked(raw, words, overlap, least, known), "marks")
-    nodes = common.materialise(rows.drop("doc_id").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    marks = marked(raw, words, overlap, least, known).drop("doc_id").dropDuplicates(["digest"])
+    nodes = common.materialise(marks.withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.select("node", "size", F.posexplode("firsts").alias("at", "h"))
     met = placed.groupBy("h").count().where("count > 1").select("h", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     placed = placed.join(met, "h").select("h", "parts", "size", F.col("at").cast("long").alias("at"), "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
@@ -420,9 +420,12 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
         if pairs.isEmpty():
             return pairs
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-        texts = common.materialise(raw.join(needed, "digest").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts")
+        texts = common.materialise(raw.join(needed, "digest").dropDuplicates(["digest"]).select("node", "text"), f"{label}-texts")
         side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-        return common.materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long"), label)
+        near = common.materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long"), label)
+        common.discard(texts)
+        common.discard(pairs)
+        return near
 
     def of(links: DataFrame) -> DataFrame:
         return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -460,7 +463,7 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
             found = found.union(more)
             joined = of(found)
     labels = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return rows.select("doc_id", "digest").join(labels, "digest")
+    return raw.select("doc_id", "digest").join(labels, "digest")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, most: int = MOST) -> DataFrame:

@@ -24,11 +24,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and digest of the text `kept` names, one of those that repeat both."""
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    rows = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "digest"]).select("row.*")
+    """The rows of docs whose doc_id and digest of the text `kept` names, one of those that repeat both.
+
+    Both steps go by the same three columns, so texts are shuffled once.
+    """
+    key = ["digest", "unknown", "id"]
+    named = lambda digest: [digest.alias("digest"), F.col("doc_id").isNull().alias("unknown"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")]
+    rows = docs.select(F.struct("*").alias("row"), *named(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return rows.join(kept.select(*named(F.col("digest"))), key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +74,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         order = mixing.mix(rows, WEIGHTS, keep=["at"]).select("at.file", "at.row", "position")
     except AnalysisException:
         rows = mixing.mix(docs, WEIGHTS).select("doc_id", "text", F.struct("position").alias("at"))
-    out = bpe.decode(bpe.encode(rows.select(F.struct("doc_id", "at").alias("doc_id"), "text"), path, public_tokenizers.PATTERN), path)
+    out = bpe.encode_and_decode(rows.select(F.struct("doc_id", "at").alias("doc_id"), "text"), path, public_tokenizers.PATTERN)
     out = out.select("doc_id.doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.at.*")
     return out if order is None else out.join(order, ["file", "row"]).drop("file", "row")
 
