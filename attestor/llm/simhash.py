@@ -154,6 +154,39 @@ def join_bucket(fps: np.ndarray, found: Iterable[tuple[int, np.ndarray]]) -> tup
     return fps[other], fps[roots[other]]
 
 
+#: So many links are joined by one task before components are found.
+LINKS = 1 << 18
+
+
+def joined_links(links: DataFrame, count: int, most: int = LINKS) -> DataFrame:
+    """(u, v) with the components of the `count` links (a, b): of each task's `most` or so, joined there, a link for each node that isn't the least of its part.
+
+    Few tasks take part, so what is left is stars already, or nearly, and components() needs few rounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty((2, 0), np.int64)]
+
+        def joined() -> pa.RecordBatch:
+            both = np.concatenate(held, axis=1)
+            nodes, at = np.unique(both, return_inverse=True)
+            i, j = at.reshape(both.shape)
+            u, v = join_bucket(nodes, zip(i.tolist(), j.reshape(-1, 1), strict=True)) if both.size else both
+            held[:] = [np.stack([u, v])]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            held.append(np.array([b.column(0).to_numpy(), b.column(1).to_numpy()], np.int64))
+            if sum(x.shape[1] for x in held) > 4 * most:
+                done = joined()
+                if done.num_rows > 2 * most:
+                    yield done
+                    held[:] = [np.empty((2, 0), np.int64)]
+        yield joined()
+
+    return links.select("a", "b").coalesce(common.groups_for(count, most)).mapInArrow(run, "u long, v long")
+
+
 def _blocks(value: Column, width: int) -> list[Column]:
     return [F.shiftrightunsigned(value, width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(4)]
 
@@ -427,8 +460,8 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
         common.discard(pairs)
         return near
 
-    def of(links: DataFrame) -> DataFrame:
-        return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    def of(links: DataFrame, count: int) -> DataFrame:
+        return components(joined_links(links, count))
 
     def members(component: DataFrame) -> DataFrame:
         """Rows of the buckets that still hold several components."""
@@ -451,7 +484,8 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
     fp = lambda k, name: same.select(F.col("fp").alias(k), F.col("first").alias(name))
     by_bits = links(same.select("fp"), radius).join(fp("u", "a"), "u").join(fp("v", "b"), "v").select("a", "b")
     found = close(nodes.join(same, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).union(by_bits), "by-bits")
-    joined = of(found)
+    many = found.count()
+    joined = of(found, many)
     rounds = {
         "few": lambda: met_in_blocks(in_parts(members(joined)), lambda x: x.few(least)),
         "nearest": lambda: met_in_blocks(crossing(members(joined)), lambda x: x.across(least, 3), "parities"),
@@ -459,9 +493,9 @@ def similar_texts(docs: DataFrame, words: int = 3, radius: int = 2, overlap: int
     }
     for label, pairs in rounds.items():
         more = close(pairs(), label)
-        if not more.isEmpty():  # else components are what they were
-            found = found.union(more)
-            joined = of(found)
+        if n := more.count():  # else components are what they were
+            found, many = found.union(more), many + n
+            joined = of(found, many)
     labels = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return raw.select("doc_id", "digest").join(labels, "digest")
 
