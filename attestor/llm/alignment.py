@@ -9,9 +9,11 @@ and joins the counts back to the blocks.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -28,7 +30,7 @@ SEGMENT = r"(?s).(?:[^ ]+|(?<=[\s▁\x1c-\x1f]) | \Z)*"
 KEPT_CHARS = 64
 #: Ends and starts of segments, which only those of a text have, over which white space may join what follows or goes before.
 OPEN, OPEN_TO_ALL, SPACES = (re.compile(x) for x in (r"[\s▁\x1c-\x1f]\Z", r"[ ▁]\Z", r" [\s▁\x1c-\x1f]"))
-Merged = tuple[int, int, int, str, list[int]]  # tokens of A, of B, groups, the groups as text, links (A's id << 32 | B's)
+Merged = tuple[int, int, int, str, bytes]  # tokens of A, of B, groups, the groups as text, links (each A's id << 32 | B's in eight bytes)
 
 
 def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +72,7 @@ class Tokenizers:
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([*map(len, x)]) for x in (self.bytes_a, self.bytes_b))
         many = max(len(self.bytes_a), len(self.bytes_b))
-        self.names = np.array([[f"{k}{mark}" for k in range(many)] for mark in (",", "|", ";", "")], object)
+        self.names = np.array([[f"{k}{mark}" for k in range(many)] for mark in (",", "|", ";", "\n")], object)
         self.local = self._ends_before_spaces(pieces)
         self.cut = re.compile(SEGMENT).findall if self.local else lambda text: [text]
         self.known: dict[str, Merged | None] = {}
@@ -85,11 +87,12 @@ class Tokenizers:
 
     def learn(self, segments: list[str]) -> list[Merged | None]:
         """What becomes of each of these segments: None if the bytes of either side's tokens aren't those of the segment."""
+        known = [*map(self.known.get, segments)]
         out: dict[str, Merged | None] = {}
         new = []
-        for s in segments:
+        for s in (segments[k] for k, m in enumerate(known) if m is None):
             if s in self.known:
-                out[s] = self.known[s]
+                out[s] = None
             elif s in self.older:
                 out[s] = self.known[s] = self.older[s]
             else:
@@ -108,7 +111,7 @@ class Tokenizers:
         self.known.update((s, out[s]) for s in chain(new, ends, alone) if len(s) <= KEPT_CHARS)
         if len(self.known) > self.most:  # what was used since the last time stays
             self.known, self.older = {}, self.known
-        return [out[s] for s in segments]
+        return [out[s] if m is None else m for s, m in zip(segments, known, strict=True)]
 
     def _encode(self, segments: list[str], out: dict[str, Merged | None]) -> None:
         """Encodes segments as one text, where none depends on what surrounds it, and halves them where bytes aren't given back."""
@@ -130,10 +133,10 @@ class Tokenizers:
     def _merge(self, segments: list[str], a: np.ndarray, b: np.ndarray, out: dict[str, Merged | None]) -> None:
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         at_a, at_b, group_a, group_b = merge(ends_a, ends_b)
-        pairs = (a[at_a] << 32 | b[at_b]).tolist()
+        pairs = (a[at_a] << 32 | b[at_b]).tobytes()
         ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in segments])
         i, j, g = (np.r_[0, np.searchsorted(x, ends, "right")] for x in (ends_a, ends_b, ends_a[group_a - 1]))
-        k = [0, *np.searchsorted(at_a, i[1:]).tolist()]
+        k = [0, *(8 * np.searchsorted(at_a, i[1:])).tolist()]
         # as text: a group's tokens of A, then those of B; what follows a token tells whether it is its side's last, its group's, its segment's
         after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         after_a[group_a - 1], after_b[group_b - 1], after_b[j[1:] - 1] = 1, 2, 3
@@ -141,10 +144,10 @@ class Tokenizers:
         place_b = np.arange(len(b)) + group_a[np.searchsorted(group_b, np.arange(len(b)), "right")]
         names = np.empty(len(a) + len(b), object)
         names[place_a], names[place_b] = self.names[after_a, a], self.names[after_b, b]
-        names, first = names.tolist(), (i + j).tolist()
-        counts = zip(np.diff(i).tolist(), np.diff(j).tolist(), np.diff(g).tolist(), strict=True)
-        for n, (s, (n_a, n_b, n_groups)) in enumerate(zip(segments, counts, strict=True)):
-            out[s] = n_a, n_b, n_groups, "".join(names[first[n] : first[n + 1]]), pairs[k[n] : k[n + 1]]
+        counts = (np.diff(x).tolist() for x in (i, j, g))
+        groups = "".join(names.tolist()).split("\n")[:-1]
+        links = map(pairs.__getitem__, map(slice, k[:-1], k[1:]))
+        out.update(zip(segments, zip(*counts, groups, links, strict=True), strict=True))
 
 
 DOCUMENT = "id string, groups string, n_a long, n_b long, n_groups long, n_links long"
@@ -161,23 +164,45 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint16 if x[0] == 2 else np.uint32, offset=1).astype(np.int64)
 
 
+class Places(dict[str, int]):
+    """The place of each distinct segment, in the order in which they come."""
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = place = len(self)
+        return place
+
+
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Python doesn't look for cycles meanwhile: a block's many small objects make none, and the search goes through all that are kept."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+@_uncollected()
 def _block(number: int, ids: list[str | None], texts: list[str | None], t: Tokenizers) -> dict[str, object]:
     """Each document as places of its segments among the block's distinct ones, and each of these with the places of its links among the block's pairs."""
-    place: dict[str, int] = {}
-    of = [[place.setdefault(s, len(place)) for s in t.cut(" " + text)] if text else [] for text in texts]
+    place = Places()
+    of = [[*map(place.__getitem__, t.cut(" " + text))] if text else [] for text in texts]
     merged = t.learn([*place])
     bad = {k for k, m in enumerate(merged) if m is None}
     if bad:
         of = [[] if bad.intersection(doc) else doc for doc in of]
-        merged = [m or (0, 0, 0, "", []) for m in merged]
+        merged = [m or (0, 0, 0, "", b"") for m in merged]
+    *counts, written, links = zip(*merged, strict=True) if merged else [()] * 5
     doc_ends = np.cumsum([0, *map(len, of)])[1:]
     flat = np.fromiter(chain.from_iterable(of), np.int64, doc_ends[-1])
-    many = np.array([len(m[4]) for m in merged], np.int64)
-    pair, at = np.unique(np.fromiter(chain.from_iterable([m[4] for m in merged]), np.int64, many.sum()), return_inverse=True)
+    many = np.array([*map(len, links)], np.int64) // 8
+    pair, at = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
     used = np.bincount(flat, minlength=len(merged))
     n = np.bincount(at, np.repeat(used, many), len(pair)).astype(np.int64)  # whole numbers below 2 ** 53
-    total = [_sums(np.array([m[i] for m in merged], np.int64)[flat], doc_ends).tolist() for i in range(3)] + [_sums(many[flat], doc_ends).tolist()]
-    groups = [";".join([merged[k][3] for k in doc]) for doc in of]
+    total = [_sums(np.array(x, np.int64)[flat], doc_ends).tolist() for x in (*counts, many)]
+    groups = [";".join(map(written.__getitem__, doc)) for doc in of]
     return {
         "block": number, "documents": [*zip(ids, groups, *total, strict=True)], "doc_ends": _packed(doc_ends), "segments": _packed(flat),
         "pair_ends": _packed(np.cumsum(many)), "pairs": _packed(at), "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n,

@@ -113,6 +113,20 @@ def test_white_space_at_the_end_of_a_text_joins_no_other_text(plain):
     assert [(d[1], *d[2:6]) for d in found] == [x[:5] for x in held(plain, texts)]
 
 
+def test_nothing_looks_for_cycles_while_a_block_is_made():
+    import gc
+
+    seen, t = [], alignment.Tokenizers(*PATHS)
+    look = lambda phase, info: seen.append(info) if phase == "start" else None
+    texts = [" ".join(f"w{i * 31 + k}" for k in range(200)) for i in range(40)]
+    gc.callbacks.append(look)
+    try:
+        alignment._block(0, [*map(str, range(len(texts)))], texts, t)
+    finally:
+        gc.callbacks.remove(look)
+    assert not seen and gc.isenabled()
+
+
 def test_merge():
     def two_pointers(a, b):
         links, groups, i, j = [], [], 0, 0
