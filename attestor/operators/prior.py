@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from attestor.functions import kernels, regions
 from attestor.sources import artifacts
 
+from . import forest as trees
+
 #: The forest's parameters, the thresholds that are tried, and what a threshold must keep to in every condition.
 FOREST = {"numTrees": 96, "maxDepth": 12, "minInstancesPerNode": 3, "featureSubsetStrategy": "0.75", "subsamplingRate": 0.65, "seed": 205, "maxMemoryInMB": 512, "cacheNodeIds": True}
 GRID = [0.01, 0.02, 0.03, 0.04] + [round(0.05 + 0.025 * i, 3) for i in range(19)]
@@ -63,14 +64,13 @@ def fit(rows: DataFrame, **forest) -> RandomForestRegressionModel:
 def out_of_fold(rows: DataFrame, folds: int = 5, **forest) -> DataFrame:
     """The rows with `score`: what a forest of the other folds predicts. A group is in one fold, by its hash.
 
-    A pass of a fit yields the figures of all nodes for each part of the rows, so there is one part a core at most.
+    Forests of all folds are grown at once, by forest.scored: MLlib's figures of all nodes (18 kB each, of each part of the rows,
+    in each pass) are many times these rows.
     """
-    data = _vectors(rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)).withColumn("fold", F.pmod(F.xxhash64("group_key"), F.lit(folds)))
-    parts = []
-    for fold in range(folds):
-        model = RandomForestRegressor(**(FOREST | forest)).fit(data.where(F.col("fold") != fold))
-        parts.append(model.transform(data.where(F.col("fold") == fold)))
-    return reduce(DataFrame.union, parts).withColumnRenamed("prediction", "score").drop("features", "label", "fold")
+    data = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).withColumn("label", F.col("inside") / F.col("n"))
+    data = data.withColumn("fold", F.pmod(F.xxhash64("group_key"), F.lit(folds)).cast("int"))
+    shape = {k: v for k, v in (FOREST | forest).items() if k not in ("maxMemoryInMB", "cacheNodeIds")}
+    return trees.scored(data, ["id", "view", "region"], "features", "label", "fold", folds, len(regions.NAMES), **shape).drop("features", "label", "fold")
 
 
 def thresholds(scored: DataFrame, grid: list[float] | None = None, least: float = LEAST_COVERAGE, most: float = MOST_SUPPORT) -> DataFrame:

@@ -69,3 +69,63 @@ def test_prior(spark, tmp_path):
             prior.load(spark, str(tmp_path / "p"), json.dumps(record | change))
     with pytest.raises(Exception, match="(?i)exist"):
         prior.release(model, chosen[0].asDict(), str(tmp_path / "p"))
+
+
+def test_out_of_fold_however_the_work_is_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from attestor.operators import forest
+
+    r = np.random.default_rng(1)
+    x = r.random((300, 3))
+    y = np.where(x[:, 0] > 0.5, 0.9, 0.1) * (x[:, 1] > 0.3)
+    df = spark.createDataFrame([(i, i % 3, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, fold int, x array<double>, label double")
+    shape = {"numTrees": 6, "maxDepth": 5, "minInstancesPerNode": 3, "featureSubsetStrategy": "0.75", "subsamplingRate": 0.65, "seed": 7}
+    whole = {p.id: p.score for p in forest.scored(df.repartition(2), ["id"], "x", "label", "fold", 3, 3, **shape).collect()}
+    parts = {p.id: p.score for p in forest.scored(df.repartition(5), ["id"], "x", "label", "fold", 3, 3, most=40, **shape).collect()}
+    assert whole.keys() == parts.keys() == set(range(300))
+    assert all(abs(whole[i] - parts[i]) < 1e-12 for i in whole)  # large nodes divided by all tasks, or all in one
+    assert np.mean([(whole[i] - y[i]) ** 2 for i in whole]) < 0.1 * np.var(y)
+    hidden = df.withColumn("label", F.when(F.col("fold") == 1, 1 - F.col("label")).otherwise(F.col("label")))  # a fold's own labels say nothing
+    again = {p.id: p.score for p in forest.scored(hidden, ["id"], "x", "label", "fold", 3, 3, **shape).collect()}
+    assert all(abs(again[i] - whole[i]) < 1e-12 for i in whole if i % 3 == 1) and any(again[i] != whole[i] for i in whole if i % 3 != 1)
+
+
+def test_grown_tree_takes_the_best_splits(spark):
+    from attestor.operators import forest
+
+    r = np.random.default_rng(2)
+    shape = forest.Shape(2, 3, 1, 4, 3, "1.0", 0.65, 5)
+    rows = np.zeros(120, np.dtype([("bins", "u1", (3,)), ("weight", "u1"), ("label", "<i8")]))
+    rows["bins"], rows["weight"], rows["label"] = r.integers(0, 9, (120, 3)), r.integers(1, 3, 120), r.integers(0, forest.ONE, 120)
+    tree = {n["at"]: n for n in forest.grown(shape, 0, 0, 1, rows)}
+
+    def loss(x):
+        y, w = x["label"] / forest.ONE, x["weight"]
+        return (w * (y - np.average(y, weights=w)) ** 2).sum() if len(x) else 0.0
+
+    def check(at, x):
+        n = tree.pop(at)
+        assert abs(n["value"] - np.average(x["label"] / forest.ONE, weights=x["weight"])) < 1e-9
+        cuts = [(x["bins"][:, f] <= c, f, c) for f in range(3) for c in range(31)]
+        fair = [loss(x[m]) + loss(x[~m]) for m, _, _ in cuts if min(x["weight"][m].sum(), x["weight"][~m].sum()) >= 3]
+        if n["feature"] < 0:
+            assert at >= 16 or not fair or min(fair) > loss(x) - 1e-9
+            return
+        low = x["bins"][:, n["feature"]] <= n["cut"]
+        assert abs(loss(x[low]) + loss(x[~low]) - min(fair)) < 1e-9
+        check(2 * at, x[low])
+        check(2 * at + 1, x[~low])
+
+    check(1, rows)
+    assert not tree
+
+
+def test_calibrated_prior_needs_no_figures_of_all_nodes(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from attestor.plans import registry
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda *a: pytest.fail("each pass of such a fit shuffles all nodes' bins from each part"))
+    rows = registry.QUERIES["calibrated_prior"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.threshold for r in rows) == prior.GRID and sum(r.selected for r in rows) == 1
