@@ -87,3 +87,19 @@ def test_forests_of_folds_see_one_part_a_core(spark):
     rows = spark.range(200).selectExpr("id", "cast(id as string) group_key", "'clean' view", "0 region", f"transform(sequence(1, {len(regions.NAMES)}), i -> cast((id * i) % 7 as double)) features", "10L n", "id % 11 inside")
     scored = prior.out_of_fold(rows.repartition(40), folds=2, numTrees=1, maxDepth=1)
     assert scored.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and scored.count() == 200
+
+
+def test_maps_hold_all_that_one_raster_gives():
+    r = np.random.default_rng(4)
+    blurred, up = similarity.Blurred(8, 8, 256), kernels.lanczos_weights(8, 256)
+    blur = lambda x: kernels.gaussian(x, 1.5, 5)
+    g = r.integers(0, 256, (8, 8)).astype(float)
+    h = np.clip(g + r.integers(-9, 10, g.shape), 0, 255)
+    x = up @ g @ up.T
+    mean, square, variance = blurred.maps(g)
+    assert np.allclose(mean, np.sqrt(2) * blur(x)) and np.allclose(square, blur(x) ** 2 + kernels.C1 / 2)
+    assert np.allclose(variance, blur(x * x) - blur(x) ** 2 + kernels.C2 / 2)
+    want = kernels.structural_similarity(x, up @ h @ up.T, blur)
+    for steps in (1, 2, 5):
+        assert np.isclose(blurred.compared(g, h, blurred.maps(g), blurred.maps(h), steps=steps), want, rtol=0, atol=1e-11)
+        assert blurred.compared(g, h, blurred.maps(g), blurred.maps(h), want + 1e-6, steps) is None
