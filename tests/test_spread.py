@@ -89,6 +89,44 @@ def test_forests_of_folds_see_one_part_a_core(spark):
     assert scored.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and scored.count() == 200
 
 
+def test_bounds_tell_what_is_similar_without_comparing(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    blurred = similarity.Blurred(8, 8, 256)
+    rows, told = [], 0
+    for k in range(120):
+        g = r.integers(20, 236, (8, 8)).astype(float)
+        h = np.clip(g + (r.integers(-1, 2, g.shape) if k % 3 == 0 else r.integers(-24, 25, g.shape) if k % 3 == 1 else r.integers(-9, 10, g.shape)), 0, 255)
+        found = blurred.similarity(g, h)
+        low = blurred.fewest((g - h)[None], (blurred.floors(g) + blurred.floors(h))[None])[0]
+        assert low <= found + 1e-9
+        told += low >= 0.98
+        rows.append((k, g.astype(int).ravel().tolist(), h.astype(int).ravel().tolist(), found >= 0.98))
+    assert told >= 40 and 0 < sum(x[3] for x in rows) < 120
+    df = spark.createDataFrame(rows, "k long, ga array<smallint>, gb array<smallint>, want boolean")
+    for many in (1, 3):
+        got = similarity.structural(df.repartition(many), ["k"], "ga", "gb", 8, 8, least=0.98, only=True).collect()
+        assert {x.k: x.similar for x in got} == {x[0]: x[3] for x in rows}
+
+
+def test_verified_leaks_are_found_by_bounds(spark):
+    """Pairs that bounds decide are not compared: nearly all of the table's."""
+    open_pairs = spark.sparkContext.accumulator(0)
+    compared = similarity.Blurred.compared
+
+    class Counted(similarity.Blurred):
+        def compared(self, *args, **named):
+            open_pairs.add(1)
+            return compared(self, *args, **named)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(similarity, "Blurred", Counted)
+        found = registry.QUERIES["leakage_verified"](spark, SF).first()
+        verified = open_pairs.value
+        registry.QUERIES["refined_pairs"](spark, SF).collect()  # gives each similarity, so all that pass are compared
+    assert found.near_leaks > 100 and verified < found.near_leaks / 10
+    assert open_pairs.value - verified > 100
+
+
 def test_maps_hold_all_that_one_raster_gives():
     r = np.random.default_rng(4)
     blurred, up = similarity.Blurred(8, 8, 256), kernels.lanczos_weights(8, 256)
