@@ -218,7 +218,9 @@ def scored(rows: DataFrame, key: list[str], features: str, label: str, fold: str
             own, score = np.asarray(b.column(fold)), np.zeros(b.num_rows)
             x = np.asarray(b.column(features).flatten(), np.float64).reshape(-1, many)
             for k in np.unique(own).tolist():
-                score[own == k] = given(k, x[own == k]) if (k, 0) in whole.value else np.nan
+                if (k, 0) not in whole.value:
+                    raise ValueError("a fold whose trees have no rows of other folds to learn from")
+                score[own == k] = given(k, x[own == k])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "score"])
 
     return rows.mapInArrow(score, StructType([*rows.schema, StructField("score", DoubleType())]))

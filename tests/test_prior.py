@@ -89,6 +89,8 @@ def test_out_of_fold_however_the_work_is_dealt(spark):
     hidden = df.withColumn("label", F.when(F.col("fold") == 1, 1 - F.col("label")).otherwise(F.col("label")))  # a fold's own labels say nothing
     again = {p.id: p.score for p in forest.scored(hidden, ["id"], "x", "label", "fold", 3, 3, **shape).collect()}
     assert all(abs(again[i] - whole[i]) < 1e-12 for i in whole if i % 3 == 1) and any(again[i] != whole[i] for i in whole if i % 3 != 1)
+    with pytest.raises(Exception, match="no rows of other folds"):
+        forest.scored(df.where("fold = 1"), ["id"], "x", "label", "fold", 3, 3, **shape).collect()
 
 
 def test_grown_tree_takes_the_best_splits(spark):
